@@ -1,8 +1,9 @@
 """Set-similarity join of documents on word n-grams: rare-first prefix filtering, then one verification a pair.
 
-The global order of n-grams is (corpus count of the n-gram's bucket, hash). Any fixed total order makes
-prefix filtering exact; counts put rare n-grams first, so common passages stay out of prefixes. Counts
-live in a sketch of fixed size, gathered over all documents.
+The global order of n-grams is (bound of the corpus count, hash), the bound being the lesser of the
+count of the n-gram's bucket and that of its rarest word's. Any fixed total order makes prefix filtering
+exact; counts put rare n-grams first, so common passages stay out of prefixes. Counts live in a sketch of
+fixed size, gathered over all documents.
 
 Documents with equal sets are one class from the start. Within an n-gram's list of classes the pairs are
 not all emitted: first each class is paired with the list's pivot (the class whose prefix has the fewest
@@ -22,21 +23,41 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, materialise, merged_sketch, mix, rolling, strings, text_hash, text_or_empty, word_hashes
+from .common import column, likely, materialise, merged_sketch, mix, rolling, strings, text_hash, text_or_empty, word_hashes
 from .components import connected_components
 
-#: Counters of the frequency sketch (8 MB as 64-bit integers), in chunks.
+#: Counters of either frequency sketch, of n-grams and of words (16 MB as 64-bit integers), in chunks.
 BUCKETS, CHUNK = 1 << 20, 1 << 14
-#: Rounds that pair with pivots before the exhaustive one.
-STAR_ROUNDS = 2
+LOW = np.uint64(BUCKETS - 1)
+#: Parts of a set's signature: how many of its hashes fall in each.
+PARTS = 64
 
 
-def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct n-word shingles, A-Z lower-cased; fewer words are one shingle."""
+def hashed(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of a text's words, A-Z lower-cased, and of its n-word shingles; fewer words are one shingle."""
     words = text.encode().lower().split()
     if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(mix(rolling(word_hashes(words), min(n, len(words))) + np.uint64(min(n, len(words)))))
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    h = mix(word_hashes(words))
+    n = min(n, len(words))
+    return h, mix(rolling(h, n) + np.uint64(n))
+
+
+def shingles(text: str, n: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(hashed(text, n)[1])
+
+
+def signature(s: np.ndarray) -> bytes:
+    """How many hashes fall in each of PARTS; two signatures bound the overlap of their sets."""
+    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS), 65535).astype("<u2").tobytes()
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
+    least = np.minimum(x, y)
+    least[least == 65535] = 1 << 40  # a full counter bounds nothing
+    return int(least.sum())
 
 
 def class_of(s: np.ndarray) -> int:
@@ -70,27 +91,32 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
-_DOCS = "doc_id bigint, key bigint, class bigint, n_shingles bigint, chunk int, counts binary"
+def _counted(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.bincount((np.concatenate([np.empty(0, np.uint64), *hashes]) & LOW).astype(np.int64), minlength=BUCKETS)
+
+
+_DOCS = "doc_id bigint, key bigint, class bigint, n_shingles bigint, signature binary, chunk int, counts binary"
 
 
 def _classes_and_counts(docs: DataFrame, text: str, n: int) -> DataFrame:
     """Rows of two kinds: a document with its class, and at a partition's end its chunks of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(2 * BUCKETS, np.int64)
         for b in batches:
-            found = [shingles(t, n) for t in strings(b, "t")]
-            counts += np.bincount((np.concatenate([np.empty(0, np.uint64), *found]) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            classes, sizes = list(map(class_of, found)), list(map(len, found))
-            none = [None] * len(sizes)
-            yield _batch(column(b, "doc_id"), column(b, "key"), classes, sizes, none, none)
-        chunks = [(i, counts[i * CHUNK : (i + 1) * CHUNK]) for i in range(BUCKETS // CHUNK)]
+            both = [hashed(t, n) for t in strings(b, "t")]
+            found = [np.unique(g) for _, g in both]
+            counts[:BUCKETS] += _counted(found)
+            counts[BUCKETS:] += _counted([w for w, _ in both])
+            none = [None] * len(found)
+            yield _batch(column(b, "doc_id"), column(b, "key"), list(map(class_of, found)), list(map(len, found)), list(map(signature, found)), none, none)
+        chunks = [(i, counts[i * CHUNK : (i + 1) * CHUNK]) for i in range(2 * BUCKETS // CHUNK)]
         chunks = [(i, zlib.compress(c.tobytes(), 1)) for i, c in chunks if c.any()]
         none = [None] * len(chunks)
-        yield _batch(none, none, none, none, [i for i, _ in chunks], [c for _, c in chunks])
+        yield _batch(none, none, none, none, none, [i for i, _ in chunks], [c for _, c in chunks])
 
     def _batch(*cols: list) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _DOCS.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(text).alias("key"), text_or_empty(text).alias("t"))
@@ -106,23 +132,26 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num:
     """
     spark = docs.sparkSession
     both = materialise(_classes_and_counts(docs, text, n), "classes")
-    rows = both.where("class is not null").select("doc_id", "key", "class", "n_shingles")
-    sketch = np.zeros(BUCKETS, np.int64)
+    rows = both.where("class is not null").select("doc_id", "key", "class", "n_shingles", "signature")
+    sketch = np.zeros(2 * BUCKETS, np.int64)
     for chunk, raw in merged_sketch(both.where("chunk is not null").select("chunk", "counts"), "sum"):
         sketch[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(raw), np.int64)
-    order = spark.sparkContext.broadcast(zlib.compress(np.minimum(sketch, 2**32 - 1).astype(np.uint32).tobytes(), 1))  # BUCKETS counters at most
+    order = spark.sparkContext.broadcast(zlib.compress(np.minimum(sketch, 2**32 - 1).astype(np.uint32).tobytes(), 1))  # 2 * BUCKETS counters
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = np.frombuffer(zlib.decompress(order.value), np.uint32), set()
         for b in batches:
             grams, classes, sizes, places = [], [], [], []
             for t in strings(b, "t"):
-                s = shingles(t, n)
+                w, g = hashed(t, n)
+                s, at = np.unique(g, return_index=True)
                 if not len(s) or (name := class_of(s)) in seen:
                     continue
                 seen.add(name)  # a partition's copies are one before the shuffle
                 p = prefix_length(len(s), num, den)
-                c = count[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                rare = count[BUCKETS:][(w & LOW).astype(np.int64)]
+                rare = np.lib.stride_tricks.sliding_window_view(rare, min(n, len(w))).min(axis=1)[at]
+                c = np.minimum(count[:BUCKETS][(s & LOW).astype(np.int64)], rare)
                 g = s
                 if p < len(s):
                     part = np.flatnonzero(c <= np.partition(c, p - 1)[p - 1])
@@ -139,19 +168,20 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num:
     shared = listed.select("*", F.min(F.struct("place", "size", "class")).over(of).alias("pivot"), F.min("class").over(of).alias("lo"), F.max("class").over(of).alias("hi")).where("lo <> hi")
     lists = materialise(shared.drop("lo", "hi").dropDuplicates(["gram", "class"]), "shared")
 
-    # The sets of the classes in shared lists, once each.
-    members = lists.groupBy("class").agg(F.first("size").alias("size"))
-    one = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("k"))).alias("r"))
-    pick = members.join(one, "class").select("class", F.col("r.d").alias("d"), F.col("r.k").alias("k"))
+    one = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("k"))).alias("r"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
+    one = materialise(one, "sets")
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(text).alias("key"), text_or_empty(text).alias("t"))
-    texts = source.join(pick, source.doc_id.eqNullSafe(pick.d) & (source.key == pick.k)).select("class", "t")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = zip(*(column(b, c) for c in ("sa", "sb", "xs", "ys")), strict=True)
+            hit = pa.array([overlap_bound(p, q) >= required(x, y, num, den) for x, y, p, q in of], pa.bool_())
+            yield b.select(["a", "b"]).filter(hit)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, n).tobytes() for t in strings(b, "t")], pa.binary())], names=["class", "grams"])
 
-    stored = materialise(texts.mapInArrow(sets, "class bigint, grams binary"), "sets").dropDuplicates(["class"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = ([np.frombuffer(v, np.uint64) for v in column(b, c)] for c in ("xg", "yg"))
@@ -159,9 +189,18 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num:
             yield b.select(["a", "b"]).filter(hit)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link: first by signatures, then, for the few that are left, by the sets themselves."""
+        pairs = pairs.join(one.select(F.col("class").alias("a"), F.col("size").alias("sa"), F.col("signature").alias("xs")), "a")
+        pairs = pairs.join(one.select(F.col("class").alias("b"), F.col("size").alias("sb"), F.col("signature").alias("ys")), "b")
+        pairs = materialise(pairs.select("a", "b", "sa", "sb", "xs", "ys").mapInArrow(bounded, "a bigint, b bigint"), "candidates")
+        members = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        pick = materialise(members.join(one, "class").select("class", F.col("r.d").alias("d"), F.col("r.k").alias("key")), "members")
+        texts = likely(source, pick, "key").withColumnRenamed("key", "k2")
+        texts = texts.join(pick, texts.doc_id.eqNullSafe(pick.d) & (texts.k2 == pick.key)).select("class", "t").dropDuplicates(["class"])
+        stored = materialise(texts.mapInArrow(sets, "class bigint, grams binary"), "grams")
         pairs = pairs.join(stored.select(F.col("class").alias("a"), F.col("grams").alias("xg")), "a")
         pairs = pairs.join(stored.select(F.col("class").alias("b"), F.col("grams").alias("yg")), "b")
-        return pairs.select("a", "b", "xg", "yg").mapInArrow(verify, "a bigint, b bigint")
+        return materialise(pairs.select("a", "b", "xg", "yg").mapInArrow(verify, "a bigint, b bigint"), "links")
 
     def passing(x: dict, y: dict):
         """The length and positional filters, for columns size and place of either side."""
@@ -171,27 +210,18 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num:
         small, large = F.least(x["size"], y["size"]), F.greatest(x["size"], y["size"])
         return (small * den >= large * num) & (left >= need)
 
-    edges, labelled = None, lists.withColumn("label", F.col("class"))
-    for _ in range(STAR_ROUNDS):
-        if edges is None:
-            star = lists.select("class", "size", "place", F.col("pivot.class").alias("pc"), F.col("pivot.size").alias("ps"), F.col("pivot.place").alias("pp"))
-        else:  # the pivots of those that the first round left apart from their list's pivot
-            apart = labelled.withColumn("top", F.col("pivot_label")).where("label <> top")
-            least = apart.groupBy("gram").agg(F.min(F.struct("place", "size", "class", "label")).alias("p2"))
-            star = labelled.join(least, "gram").where("label <> p2.label").select("class", "size", "place", F.col("p2.class").alias("pc"), F.col("p2.size").alias("ps"), F.col("p2.place").alias("pp"))
-        star = star.where(F.col("class") != F.col("pc")).where(passing({"size": F.col("size"), "place": F.col("place")}, {"size": F.col("ps"), "place": F.col("pp")}))
-        pairs = star.select(F.least("class", "pc").alias("a"), F.greatest("class", "pc").alias("b")).distinct()
-        found = verified(pairs)
-        edges = materialise(found if edges is None else edges.union(found), "links")
-        labels = connected_components(edges)
-        labelled = materialise(_label(lists, labels), "labelled")
+    star = lists.select("class", "size", "place", F.col("pivot.class").alias("pc"), F.col("pivot.size").alias("ps"), F.col("pivot.place").alias("pp")).where("class <> pc")
+    star = star.where(passing({"size": F.col("size"), "place": F.col("place")}, {"size": F.col("ps"), "place": F.col("pp")}))
+    edges = verified(star.select(F.least("class", "pc").alias("a"), F.greatest("class", "pc").alias("b")).distinct())
+    own = connected_components(edges).select(F.col("node").alias("class"), "label")
+    labelled = materialise(lists.join(own, "class", "left").select("gram", "class", "size", "place", F.coalesce("label", "class").alias("label")), "labelled")
 
     x = labelled.select("gram", F.col("class").alias("a"), F.col("size").alias("sa"), F.col("place").alias("pa"), F.col("label").alias("la"))
     y = labelled.select("gram", F.col("class").alias("b"), F.col("size").alias("sb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
     # Lists whose members are all connected have nothing left to test.
     open_lists = labelled.groupBy("gram").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("gram")
     rest = x.join(open_lists, "gram").join(y, "gram").where("a < b and la <> lb").where(passing({"size": F.col("sa"), "place": F.col("pa")}, {"size": F.col("sb"), "place": F.col("pb")}))
-    edges = materialise(edges.union(verified(rest.select("a", "b").distinct())), "links")
+    edges = edges.union(verified(rest.select("a", "b").distinct()))
     labels = connected_components(edges)
 
     known = rows.groupBy("class").agg(F.min("doc_id").alias("first"))
@@ -204,13 +234,6 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num:
     return out.select("doc_id", "key", "n_shingles", "class", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def _label(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    own = labels.select(F.col("node").alias("class"), F.col("label").alias("l"))
-    top = labels.select(F.col("node").alias("tn"), F.col("label").alias("tl"))
-    out = lists.join(own, "class", "left").join(top, lists.pivot["class"] == top.tn, "left")
-    return out.select("gram", "class", "size", "place", F.coalesce("l", "class").alias("label"), F.coalesce("tl", F.col("pivot.class")).alias("pivot_label"))
-
-
 def keep_one(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The rows of docs without those that link, directly or through others, to a row with a lesser doc_id.
 
