@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -197,12 +196,12 @@ def likely(rows: DataFrame, keys: DataFrame, key: str, most_bits: int = 1 << 27)
         words[i << 13 : (i << 13) + len(one)] = one
     sent = rows.sparkSession.sparkContext.broadcast(words.view(np.uint8))
 
-    @F.pandas_udf("boolean")
-    def passes(k: pd.Series) -> pd.Series:
-        h = k.to_numpy(np.int64)
+    @F.arrow_udf("boolean")
+    def passes(k: pa.Array) -> pa.Array:
+        h = k.to_numpy(zero_copy_only=False).astype(np.int64)
         ok = np.ones(len(h), bool)
         for p in places(h):
             ok &= (sent.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-        return pd.Series(ok)
+        return pa.array(ok)
 
     return rows.where(passes(key))
