@@ -145,11 +145,9 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 def merged_sketch(partials: DataFrame, combine: str) -> list[tuple[int, bytes]]:
     """Combine partial sketches (chunk int, counts binary of int64) over all partitions, in two levels.
 
-    The first level takes about the square root of the partitions at a time, so no group grows with
-    the input alone; the result has the sketch's fixed size, whatever the corpus.
+    The first level folds partitions k*k to (k+1)*(k+1) together, so no group has more rows than about
+    twice the square root of the partitions; the result has the sketch's fixed size, whatever the corpus.
     """
-    n = max(1, partials.rdd.getNumPartitions())
-    salts = max(1, int(n**0.5))
 
     def fold(table: pa.Table) -> pa.Table:
         total = None
@@ -158,7 +156,7 @@ def merged_sketch(partials: DataFrame, combine: str) -> list[tuple[int, bytes]]:
             total = one.copy() if total is None else (total + one if combine == "sum" else total | one)
         return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    level = partials.withColumn("salt", F.spark_partition_id() % salts)
+    level = partials.withColumn("salt", F.floor(F.sqrt(F.spark_partition_id())))
     level = level.groupBy("chunk", "salt").applyInArrow(fold, "chunk int, counts binary")
     return [(r.chunk, r.counts) for r in level.groupBy("chunk").applyInArrow(fold, "chunk int, counts binary").collect()]
 

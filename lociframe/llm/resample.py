@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, merged_sketch, mix, strings, text_hash, text_or_empty, word_hashes
+from .common import column, likely, materialise, merged_sketch, mix, strings, text_hash, text_or_empty, word_hashes
 
 #: Hash buckets for unigrams, and as many for bigrams; counts for target and raw.
 BUCKETS, CHUNK = 1 << 16, 1 << 13
@@ -51,28 +51,25 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, tex
     than k are where rows repeat. Without labelled good rows the target is the raw text, and sampling uniform.
     """
     spark = docs.sparkSession
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("bigint").alias("good_id")).distinct()
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(text).alias("key"), text_or_empty(text).alias("t"))
-    marked = rows.join(good, rows.doc_id == good.good_id, "left").select("t", F.col("good_id").isNotNull().alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(4 * BUCKETS, np.int64)
+        total = np.zeros(2 * BUCKETS, np.int64)
         for b in batches:
-            for t, g in zip(strings(b, "t"), column(b, "good"), strict=True):
-                at = buckets(t)
-                total[2 * BUCKETS :] += np.bincount(at, minlength=2 * BUCKETS) if len(at) > 20_000 else 0
-                if len(at) <= 20_000:
-                    np.add.at(total, at + 2 * BUCKETS, 1)
-                if g:
-                    np.add.at(total, at, 1)
+            total += np.bincount(np.concatenate([np.empty(0, np.int64), *map(buckets, strings(b, "t"))]), minlength=2 * BUCKETS)
         parts = [(i, total[i * CHUNK : (i + 1) * CHUNK]) for i in range(len(total) // CHUNK)]
         parts = [(i, zlib.compress(c.tobytes(), 1)) for i, c in parts if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["chunk", "counts"])
 
-    counts = np.zeros(4 * BUCKETS, np.int64)
-    for i, raw in merged_sketch(marked.mapInArrow(count, "chunk int, counts binary"), "sum"):
-        counts[i * CHUNK : (i + 1) * CHUNK] = np.frombuffer(zlib.decompress(raw), np.int64)
-    target, all_text = counts[: 2 * BUCKETS], counts[2 * BUCKETS :]
+    def counted(texts: DataFrame) -> np.ndarray:
+        counts = np.zeros(2 * BUCKETS, np.int64)
+        for i, raw in merged_sketch(texts.mapInArrow(count, "chunk int, counts binary"), "sum"):
+            counts[i * CHUNK : (i + 1) * CHUNK] = np.frombuffer(zlib.decompress(raw), np.int64)
+        return counts
+
+    all_text = counted(rows.select("t"))
+    target = counted(likely(rows.where("doc_id is not null"), good, "doc_id").join(good, "doc_id", "left_semi").select("t"))
     model = spark.sparkContext.broadcast(log_ratios(target if target.any() else all_text, all_text).astype(np.float32))  # 0.5 MB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
