@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import column, strings, text_or_empty
+from .common import CACHES, column, strings, text_or_empty, tidied
 
 NONE = 1 << 60
 #: What one worker remembers: chunks (and as many of the generation before), and code points of a chunk that is remembered.
@@ -183,6 +183,9 @@ class Bpe:
         return n, " ".join(ids), " ".join(decoded)
 
 
+CACHES["bpe"] = Bpe._loaded.clear
+
+
 def chunks(text: str) -> list[str]:
     return [c for c in SPACE.split(text) if c] if ODD.search(text) else text.split()
 
@@ -204,7 +207,7 @@ def encoded_digests(docs: DataFrame, tokenizer: str, text: str = "text") -> Data
                 decoded.append(hashlib.sha256(d.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[x.split()[0] for x in ENCODED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(tidied(run, "bpe"), ENCODED)
 
 
 def encoded(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -218,7 +221,7 @@ def encoded(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "id
             ids = pa.array([bpe.encode(t) for t in strings(b, text)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, into])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(tidied(run, "bpe"), schema)
 
 
 def decoded(docs: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -232,4 +235,4 @@ def decoded(docs: DataFrame, tokenizer: str, ids: str = "ids", into: str = "deco
             text = pa.array([bpe.decode(x or []) for x in column(b, ids)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, text], names=[*b.schema.names, into])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(tidied(run, "bpe"), schema)

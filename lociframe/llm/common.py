@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
 #: Rows in an Arrow batch; documents are a few kilobytes each, so a batch stays at some megabytes.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 _shipped: set[str] = set()
@@ -142,6 +144,28 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+#: What workers remember between tasks: by owner, how to forget it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def tidied(run: Callable, owner: str | None = None) -> Callable:
+    """run, after which the worker forgets what other operators remembered and returns free memory to the system."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for name, forget in CACHES.items():
+            if name != owner:
+                forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return inner
+
+
 def merged_sketch(partials: DataFrame, combine: str) -> list[tuple[int, bytes]]:
     """Combine partial sketches (chunk int, counts binary of int64) over all partitions, in two levels.
 
@@ -189,7 +213,7 @@ def likely(rows: DataFrame, keys: DataFrame, key: str, most_bits: int = 1 << 27)
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([w for _, w in parts], pa.binary())], names=["chunk", "counts"])
 
     words = np.zeros(bits // 64, np.int64)
-    for i, raw in merged_sketch(keys.select(key).mapInArrow(build, "chunk int, counts binary"), "or"):
+    for i, raw in merged_sketch(keys.select(key).mapInArrow(tidied(build), "chunk int, counts binary"), "or"):
         one = np.frombuffer(zlib.decompress(raw), np.int64)
         words[i << 13 : (i << 13) + len(one)] = one
     sent = rows.sparkSession.sparkContext.broadcast(words.view(np.uint8))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, tidied
 
 # Names from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -336,4 +336,4 @@ def extracted(pages: DataFrame, source: str = "html", into: str = "text") -> Dat
             text = [None if p is None else page_text(p) for p in column(b, source)]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], pa.array(text, pa.string())], names=[*kept, into])
 
-    return pages.select(*kept, F.col(source).cast("string").alias(source)).mapInArrow(run, schema)
+    return pages.select(*kept, F.col(source).cast("string").alias(source)).mapInArrow(tidied(run), schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, likely, materialise, merged_sketch, mix, rolling, strings, text_hash, text_or_empty, word_hashes
+from .common import column, likely, materialise, merged_sketch, mix, rolling, strings, text_hash, text_or_empty, tidied, word_hashes
 from .components import connected_components
 
 #: Counters of either frequency sketch, of n-grams and of words (16 MB as 64-bit integers), in chunks.
@@ -120,7 +120,7 @@ def _classes_and_counts(docs: DataFrame, text: str, n: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _DOCS.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(text).alias("key"), text_or_empty(text).alias("t"))
-    return rows.mapInArrow(run, _DOCS)
+    return rows.mapInArrow(tidied(run), _DOCS)
 
 
 def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -163,10 +163,11 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num:
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))], names=["gram", "class", "size", "place"])
 
-    listed = docs.select(text_or_empty(text).alias("t")).mapInArrow(prefixes, "gram bigint, class bigint, size int, place int")
+    listed = docs.select(text_or_empty(text).alias("t")).mapInArrow(tidied(prefixes), "gram bigint, class bigint, size int, place int")
     of = Window.partitionBy("gram")
     shared = listed.select("*", F.min(F.struct("place", "size", "class")).over(of).alias("pivot"), F.min("class").over(of).alias("lo"), F.max("class").over(of).alias("hi")).where("lo <> hi")
     lists = materialise(shared.drop("lo", "hi").dropDuplicates(["gram", "class"]), "shared")
+    order.unpersist()
 
     one = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("k"))).alias("r"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
     one = materialise(one, "sets")
@@ -192,15 +193,15 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num:
         """The pairs that link: first by signatures, then, for the few that are left, by the sets themselves."""
         pairs = pairs.join(one.select(F.col("class").alias("a"), F.col("size").alias("sa"), F.col("signature").alias("xs")), "a")
         pairs = pairs.join(one.select(F.col("class").alias("b"), F.col("size").alias("sb"), F.col("signature").alias("ys")), "b")
-        pairs = materialise(pairs.select("a", "b", "sa", "sb", "xs", "ys").mapInArrow(bounded, "a bigint, b bigint"), "candidates")
+        pairs = materialise(pairs.select("a", "b", "sa", "sb", "xs", "ys").mapInArrow(tidied(bounded), "a bigint, b bigint"), "candidates")
         members = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
         pick = materialise(members.join(one, "class").select("class", F.col("r.d").alias("d"), F.col("r.k").alias("key")), "members")
         texts = likely(source, pick, "key").withColumnRenamed("key", "k2")
         texts = texts.join(pick, texts.doc_id.eqNullSafe(pick.d) & (texts.k2 == pick.key)).select("class", "t").dropDuplicates(["class"])
-        stored = materialise(texts.mapInArrow(sets, "class bigint, grams binary"), "grams")
+        stored = materialise(texts.mapInArrow(tidied(sets), "class bigint, grams binary"), "grams")
         pairs = pairs.join(stored.select(F.col("class").alias("a"), F.col("grams").alias("xg")), "a")
         pairs = pairs.join(stored.select(F.col("class").alias("b"), F.col("grams").alias("yg")), "b")
-        return materialise(pairs.select("a", "b", "xg", "yg").mapInArrow(verify, "a bigint, b bigint"), "links")
+        return materialise(pairs.select("a", "b", "xg", "yg").mapInArrow(tidied(verify), "a bigint, b bigint"), "links")
 
     def passing(x: dict, y: dict):
         """The length and positional filters, for columns size and place of either side."""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import chunks
-from .common import column, materialise, strings, text_or_empty
+from .common import CACHES, column, materialise, strings, text_or_empty, tidied
 
 CAPACITY, END_ID = 4096, 1
 #: Fillings that one step of the search may look at, and steps that the whole search may take back.
@@ -183,7 +183,7 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
             off = p["offset"][at] + (i % p["each"][at]) * k
             yield pa.RecordBatch.from_arrays([*[b.column(j) for j in range(len(names))], pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidied(run, "chunks"), schema)
 
 
 def _places(patterns: list[Pattern]) -> dict[str, np.ndarray]:
@@ -211,7 +211,7 @@ class ChunkIds:
     """The ids of texts as little-endian 32-bit integers, from remembered chunks; the library encodes new ones."""
 
     _loaded: dict[str, ChunkIds] = {}
-    MOST, LONGEST = 600_000, 64
+    MOST, LONGEST = 200_000, 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -251,6 +251,9 @@ class ChunkIds:
                     del known[c]
 
 
+CACHES["chunks"] = ChunkIds._loaded.clear
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row for each piece of each document: its ids and END_ID, cut only where longer than capacity.
 
@@ -274,7 +277,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(tidied(run, "chunks"), schema)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:

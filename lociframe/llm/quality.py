@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, strings, text_hash, text_or_empty
+from .common import column, materialise, strings, text_hash, text_or_empty, tidied
 
 SYMBOLS = "#*$%&|<>"
 
@@ -64,7 +64,7 @@ def profiles(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([column(b, "doc_id"), column(b, "key"), column(b, "host"), *(zip(*stats, strict=True) if stats else [[]] * 5), lines], types, strict=True)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(text).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_or_empty(text).alias("t"))
-    return rows.mapInArrow(run, _PROFILE)
+    return rows.mapInArrow(tidied(run), _PROFILE)
 
 
 def verdicts(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
@@ -114,4 +114,4 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", **l
             cols = [pa.array(new, b.schema.field(i).type) if j == i else c for j, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).select(names)
 
-    return kept.select(*docs.columns, "frequent").mapInArrow(run, docs.schema)
+    return kept.select(*docs.columns, "frequent").mapInArrow(tidied(run), docs.schema)

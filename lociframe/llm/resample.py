@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, likely, materialise, merged_sketch, mix, strings, text_hash, text_or_empty, word_hashes
+from .common import column, likely, materialise, merged_sketch, mix, strings, text_hash, text_or_empty, tidied, word_hashes
 
 #: Hash buckets for unigrams, and as many for bigrams; counts for target and raw.
 BUCKETS, CHUNK = 1 << 16, 1 << 13
@@ -64,7 +64,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, tex
 
     def counted(texts: DataFrame) -> np.ndarray:
         counts = np.zeros(2 * BUCKETS, np.int64)
-        for i, raw in merged_sketch(texts.mapInArrow(count, "chunk int, counts binary"), "sum"):
+        for i, raw in merged_sketch(texts.mapInArrow(tidied(count), "chunk int, counts binary"), "sum"):
             counts[i * CHUNK : (i + 1) * CHUNK] = np.frombuffer(zlib.decompress(raw), np.int64)
         return counts
 
@@ -80,7 +80,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, tex
             n = [(len(x) + 1) // 2 for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "key"), pa.int64()), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], names=["doc_id", "key", "n_words", "log_weight"])
 
-    scored = rows.mapInArrow(score, "doc_id bigint, key bigint, n_words bigint, log_weight double")
+    scored = rows.mapInArrow(tidied(score), "doc_id bigint, key bigint, n_words bigint, log_weight double")
     uniform = (F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     scored = materialise(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     if share is None:

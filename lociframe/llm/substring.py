@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, likely, materialise, mix, rolling, signed, strings, text_hash, text_or_empty, window_argmin_right, word_hashes
+from .common import column, likely, materialise, mix, rolling, signed, strings, text_hash, text_or_empty, tidied, window_argmin_right, word_hashes
 
 LENGTH, GRAM = 35, 8
 
@@ -59,7 +59,7 @@ def _profiles(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
             flat = pa.concat_arrays(anchors) if anchors else pa.array([], _ANCHOR)
             yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "key"), pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "key", "n_words", "kept_sha256", "anchors"])
 
-    return _rows(docs, text).mapInArrow(run, _PROFILE)
+    return _rows(docs, text).mapInArrow(tidied(run), _PROFILE)
 
 
 def _rows(docs: DataFrame, text: str) -> DataFrame:
@@ -94,7 +94,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                 n = np.repeat([x["n"] for x in ask], reach)
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(starts), pa.int64()), pa.array([key] * len(starts), pa.int64()), pa.array(np.repeat(anchor[i], reach)), pa.array(signed(mix(hashes[starts]))), pa.array(starts.astype(np.int32)), pa.array(n.astype(np.int64))], names=["doc_id", "key", "anchor", "window", "start", "n"])
 
-    w = materialise(asked.mapInArrow(windows, "doc_id bigint, key bigint, anchor bigint, window bigint, start int, n bigint"), "windows")
+    w = materialise(asked.mapInArrow(tidied(windows), "doc_id bigint, key bigint, anchor bigint, window bigint, start int, n bigint"), "windows")
     twice = w.groupBy("anchor", "window").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("n > 1 and c > 1").select("anchor", "window")
     single = w.where("n = 1").join(twice, ["anchor", "window"]).select("doc_id", "key", F.col("start").alias("first"), F.col("start").alias("last"))
     return p, whole.union(again).union(single)
@@ -126,7 +126,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, g
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string()] * 2, strict=True)], names=["doc_id", "key", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    done = hit.mapInArrow(cut, "doc_id bigint, key bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    done = hit.mapInArrow(tidied(cut), "doc_id bigint, key bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     q = s.select("_d", "_k")
     rest = p.join(q, p.doc_id.eqNullSafe(q._d) & (p.key == q._k), "left_anti")
     return done.union(rest.select("doc_id", "key", "n_words", F.lit(0).cast("bigint"), "kept_sha256", F.lit(None).cast("string")))

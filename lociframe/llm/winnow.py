@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import column, mix, rolling, strings, text_hash, text_or_empty, window_argmin_right
+from .common import column, mix, rolling, strings, text_hash, text_or_empty, tidied, window_argmin_right
 
 #: Code points in a gram, grams in a window: any shared passage of K + W - 1 = 51 code points shares a selected gram.
 K, W = 20, 32
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K, w: int = W) ->
             cols = [*b.columns, pa.array([p.tolist() for p, _ in prints], pa.list_(pa.int64())), pa.array([h.view(np.int64).tolist() for _, h in prints], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "fp_positions", "fp_hashes"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidied(run), schema)
 
 
 EDITS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -127,7 +127,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names=NAMES)
 
-    return dealt.mapInArrow(run, EDITS)
+    return dealt.mapInArrow(tidied(run), EDITS)
 
 
 NAMES = [x.split()[0] for x in EDITS.split(", ")]
