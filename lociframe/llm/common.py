@@ -148,20 +148,25 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 CACHES: dict[str, Callable[[], None]] = {}
 
 
+def tidy() -> None:
+    """Forget what other operators remembered, and return free memory to the system."""
+    for forget in CACHES.values():
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidied(run: Callable, owner: str | None = None) -> Callable:
-    """run, after which the worker forgets what other operators remembered and returns free memory to the system."""
+    """run, after which the worker is tidied; not after an operator that owns a cache and goes on with it."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        for name, forget in CACHES.items():
-            if name != owner:
-                forget()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        if owner is None:
+            tidy()
 
     return inner
 
