@@ -49,7 +49,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL can't express winnowed runs joined with tokenizers' ids; tests compare each stage with brute force.
+#: SQL can't express winnowed runs joined with tokenizers' ids; tests compare the stages' operators with brute force.
 ORACLE_SQL = None
 
 
