@@ -8,7 +8,9 @@ among the pieces of its length. No piece is gathered on the driver.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right
@@ -18,12 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .bpe import chunks
-from .common import CACHES, column, materialise, strings, text_or_empty, tidied
+from .bpe import ODD, chunks
+from .common import CACHES, column, materialise, text_or_empty, tidied
 
 CAPACITY, END_ID = 4096, 1
 #: Fillings that one step of the search may look at, and steps that the whole search may take back.
@@ -207,19 +211,40 @@ def _places(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+#: Texts that are encoded together: the more, the fewer chunks are looked up twice. Their arrays take about 20 times as much.
+TEXT_BYTES = 4 << 20
+#: Chunks of these characters alone are normalised and split here: none of them composes with another one.
+PLAIN = re.compile("[!-~\u00a1-\u017f]+")
+
+
 class ChunkIds:
-    """The ids of texts as little-endian 32-bit integers, from remembered chunks; the library encodes new ones."""
+    """The ids of texts as little-endian 32-bit integers, from remembered chunks and words; the library encodes new words.
+
+    Chunks between white space are made of fewer different words (the same word comes with other
+    punctuation and in capitals), so what a new chunk lacks are mostly words that are known. New words are
+    encoded many in one call, and told apart by the tokens that end a word.
+    """
 
     _loaded: dict[str, ChunkIds] = {}
-    MOST, LONGEST = 600_000, 64
+    MOST, LONGEST = 400_000, 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.words_of = regex.compile(split["pattern"]["Regex"]).findall
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        vocab = spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + len(self.special) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"] or "\0")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> ChunkIds:
@@ -227,33 +252,102 @@ class ChunkIds:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, a hundred texts at a time."""
-        for i in range(0, len(texts), 100):
-            parts = [chunks(t) for t in texts[i : i + 100]]
-            if len(self.known) > self.MOST:
-                self.known, self.older = {}, self.known
-            known, older = self.known, self.older
-            fresh = {}
-            for c in set().union(*parts):
-                if c not in known:
-                    if (raw := older.get(c)) is None:
-                        fresh[c] = None
-                    else:
-                        known[c] = raw
-            new = list(fresh)
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[c] = array("I", e.ids).tobytes()
-            for p in parts:
-                yield b"".join(map(known.__getitem__, p))
-            for c in new:
-                if len(c) > self.LONGEST:
-                    del known[c]
+    def singly(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def encoded_words(self, words: list[str], together: int = 200) -> Iterator[bytes]:
+        """The ids of each word; a group whose words can't be told apart is encoded word by word."""
+        groups = [words[i : i + together] for i in range(0, len(words), together)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(group) or ends[-1] != 4 * len(ids):
+                yield from self.singly(group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for end in ends.tolist():
+                yield raw[at:end]
+                at = end
+
+    def encoded(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(chunk, ids) of each of some chunks."""
+        special, plain, other = self.special, [], []
+        for c in new:
+            (plain if PLAIN.fullmatch(c) and not ("<" in c and any(s in c for s in special)) else other).append(c)
+        lower = [self.words_of(c.lower()) for c in plain]
+        if len(self.words) > self.MOST:
+            self.words, self.older_words = {}, self.words
+        words, older, lacking = self.words, self.older_words, []
+        for w in set().union(*lower):
+            if w not in words:
+                if (raw := older.get(w)) is None:
+                    lacking.append(w)
+                else:
+                    words[w] = raw
+        words.update(zip(lacking, self.encoded_words(lacking), strict=True))
+        for c, parts in zip(plain, lower, strict=True):
+            yield c, b"".join(map(words.__getitem__, parts))
+        yield from zip(other, self.singly(other), strict=True)
+        for w in lacking:
+            if len(w) > self.LONGEST:
+                del words[w]
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of an array without nulls.
+
+        Each different chunk of the array is looked up once; numpy then puts the ids together by the
+        chunks' codes, which costs far less than to look up every chunk of every text.
+        """
+        if pc.any(pc.match_substring_regex(texts, ODD.pattern)).as_py():
+            lists = pa.array([chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            lists = pc.utf8_split_whitespace(texts)  # splits where str.split() does; may give empty chunks
+        coded = lists.values.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > self.MOST:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        found = list(map(known.get, distinct))
+        new = []
+        for i in [i for i, raw in enumerate(found) if raw is None]:
+            c = distinct[i]
+            if (raw := older.get(c)) is None:
+                new.append(i)
+            else:
+                found[i] = known[c] = raw
+        fresh = dict(self.encoded([distinct[i] for i in new]))
+        for i in new:
+            found[i] = fresh[distinct[i]]
+        known.update((c, raw) for c, raw in fresh.items() if len(c) <= self.LONGEST)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        n = size[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(first[codes] - ends[:-1], n)
+        at += np.arange(ends[-1])
+        ids = ids[at]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        for i, j in zip(bounds, bounds[1:], strict=False):
+            yield ids[i:j].tobytes()
 
 
 CACHES["chunks"] = ChunkIds._loaded.clear
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The two columns of batches, some at a time: up to TEXT_BYTES of texts, or one batch if that has more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if held and size + b.nbytes > TEXT_BYTES:
+            yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row for each piece of each document: its ids and END_ID, cut only where longer than capacity.
 
@@ -267,9 +361,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ChunkIds.of(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
-        for b in batches:
+        for docs, texts in gathered(batches):
             out = []
-            for doc, raw in zip(column(b, "doc_id"), encode(strings(b, "t")), strict=True):
+            for doc, raw in zip(docs.to_pylist(), encode(texts), strict=True):
                 raw += end
                 for i, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
