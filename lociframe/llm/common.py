@@ -152,6 +152,11 @@ def tidy() -> None:
     """Forget what other operators remembered, and return free memory to the system."""
     for forget in CACHES.values():
         forget()
+    trim()
+
+
+def trim() -> None:
+    """Return free memory to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -161,12 +166,11 @@ def tidy() -> None:
 
 
 def tidied(run: Callable, owner: str | None = None) -> Callable:
-    """run, after which the worker is tidied; not after an operator that owns a cache and goes on with it."""
+    """run, after which the worker is tidied; an operator that owns a cache goes on with it and only returns memory."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        if owner is None:
-            tidy()
+        tidy() if owner is None else trim()
 
     return inner
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import ODD, chunks
-from .common import CACHES, column, materialise, text_or_empty, tidied
+from .common import CACHES, column, materialise, text_or_empty, tidied, trim
 
 CAPACITY, END_ID = 4096, 1
 #: Fillings that one step of the search may look at, and steps that the whole search may take back.
@@ -213,6 +213,8 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 #: Texts that are encoded together: the more, the fewer chunks are looked up twice. Their arrays take about 20 times as much.
 TEXT_BYTES = 4 << 20
+#: Chunks, and words, that a worker remembers, with as many of the generation before: about 150 bytes each.
+REMEMBERED = 400_000
 #: Chunks of these characters alone are normalised and split here: none of them composes with another one.
 PLAIN = re.compile("[!-~\u00a1-\u017f]+")
 
@@ -225,10 +227,11 @@ class ChunkIds:
     encoded many in one call, and told apart by the tokens that end a word.
     """
 
-    _loaded: dict[str, ChunkIds] = {}
-    MOST, LONGEST = 400_000, 64
+    _loaded: dict[tuple[str, int], ChunkIds] = {}
+    LONGEST = 64
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = REMEMBERED):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -241,16 +244,18 @@ class ChunkIds:
         vocab = spec["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + len(self.special) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"] or "\0")]] = True
+        del spec, vocab
+        trim()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older_words: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> ChunkIds:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+    def of(cls, path: str, most: int = REMEMBERED) -> ChunkIds:
+        if (path, most) not in cls._loaded:
+            cls._loaded[path, most] = cls(path, most)
+        return cls._loaded[path, most]
 
     def singly(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -275,7 +280,7 @@ class ChunkIds:
         for c in new:
             (plain if PLAIN.fullmatch(c) and not ("<" in c and any(s in c for s in special)) else other).append(c)
         lower = [self.words_of(c.lower()) for c in plain]
-        if len(self.words) > self.MOST:
+        if len(self.words) > self.most:
             self.words, self.older_words = {}, self.words
         words, older, lacking = self.words, self.older_words, []
         for w in set().union(*lower):
@@ -304,7 +309,7 @@ class ChunkIds:
             lists = pc.utf8_split_whitespace(texts)  # splits where str.split() does; may give empty chunks
         coded = lists.values.dictionary_encode()
         codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > self.MOST:
+        if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         found = list(map(known.get, distinct))
@@ -323,9 +328,12 @@ class ChunkIds:
         ids, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
         n = size[codes]
         ends = np.concatenate([[0], np.cumsum(n)])
+        if ends[-1] < 1 << 31:  # half the memory
+            first, ends, size = (x.astype(np.int32) for x in (first, ends, size))
         at = np.repeat(first[codes] - ends[:-1], n)
-        at += np.arange(ends[-1])
+        at += np.arange(ends[-1], dtype=at.dtype)
         ids = ids[at]
+        del at
         bounds = ends[lists.offsets.to_numpy()].tolist()
         for i, j in zip(bounds, bounds[1:], strict=False):
             yield ids[i:j].tobytes()
@@ -334,12 +342,12 @@ class ChunkIds:
 CACHES["chunks"] = ChunkIds._loaded.clear
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """The two columns of batches, some at a time: up to TEXT_BYTES of texts, or one batch if that has more."""
+def gathered(batches: Iterator[pa.RecordBatch], most: int = TEXT_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The two columns of batches, some at a time: up to `most` bytes, or one batch if that has more."""
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
-        if held and size + b.nbytes > TEXT_BYTES:
+        if held and size + b.nbytes > most:
             yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
             held, size = [], 0
         held.append(b)
@@ -348,20 +356,21 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.A
         yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """A row for each piece of each document: its ids and END_ID, cut only where longer than capacity.
 
     Chunks between white space are encoded once and remembered: no token spans white space. The memory of
-    a worker's chunks is bounded; what it forgets is encoded anew.
+    a worker's chunks is bounded; what it forgets is encoded anew. `remembered` and `text_bytes` trade memory
+    for time; results don't depend on them.
     """
     schema = PIECES + (", ids binary" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkIds.of(tokenizer)
+        encode = ChunkIds.of(tokenizer, remembered)
         end = np.array([END_ID], "<u4").tobytes()
-        for docs, texts in gathered(batches):
+        for docs, texts in gathered(batches, text_bytes):
             out = []
             for doc, raw in zip(docs.to_pylist(), encode(texts), strict=True):
                 raw += end
@@ -374,10 +383,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty(text).alias("t")).mapInArrow(tidied(run, "chunks"), schema)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, remembered: int = REMEMBERED, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of docs.
 
     Null and empty texts are the end id alone; repeated rows are pieces of their own; null doc_ids stay null.
     """
-    pieces = materialise(token_pieces(docs, tokenizer, text, capacity), "pieces")
+    pieces = materialise(token_pieces(docs, tokenizer, text, capacity, remembered=remembered, text_bytes=text_bytes), "pieces")
     return pack(pieces, "length", ("doc_id", "piece", "start", "ids_crc32"), capacity)

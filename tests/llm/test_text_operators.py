@@ -378,7 +378,7 @@ def test_op10(docs, none):
                 assert (r.n_lines, r.n_removed_lines) == (t.count("\n") + 1, len(gone[r.doc_id]))
 
 
-def test_chunk_ids_are_the_tokenizers(monkeypatch):
+def test_chunk_ids_are_the_tokenizers():
     """Words, letters beyond Latin, marks, special tokens, odd separators and long chunks; small memories and new ones."""
     import pyarrow as pa
     from tokenizers import Tokenizer
@@ -388,8 +388,7 @@ def test_chunk_ids_are_the_tokenizers(monkeypatch):
     texts = ["", "  a b　c\x85d\xa0 ", "\x1f"] + [" ".join(rng.choice(VOCAB + odd) + rng.choice(["", ".", "'s", "Q"]) for _ in range(rng.randrange(60))) for _ in range(300)]
     want = [e.ids for e in Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
     for most in (10, 10_000):
-        monkeypatch.setattr(packing.ChunkIds, "MOST", most)
-        encode = packing.ChunkIds(tokenizer_path())
+        encode = packing.ChunkIds(tokenizer_path(), most)
         for i in range(0, len(texts), 40):
             part = pa.array(texts[i : i + 40])
             for got, ids in zip(encode(part), want[i : i + 40], strict=True):
