@@ -37,8 +37,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' tokens and their places in sequences."""
-    return packing.packed_documents(docs, tokenizer_path())
+    """The pieces of the documents' tokens and their places in sequences; little is remembered, as the JVM has grown by now."""
+    return packing.packed_documents(docs, tokenizer_path(), remembered=100_000, text_bytes=2 << 20)
 
 
 STAGES = [
