@@ -16,6 +16,9 @@ SYMBOLS = "#*$%&|<>"
 
 #: A line is boilerplate of its host if more than MIN_DOCS different documents and more than HOST_SHARE of the host's have it.
 MIN_DOCS, HOST_SHARE = 20, 0.05
+#: quality_rules also removes lines that more than ENOUGH_DOCS different documents of a host have, however large
+#: it is, or more than FLOOR_DOCS of them and FLOOR_SHARE of the host's.
+ENOUGH_DOCS, FLOOR_DOCS, FLOOR_SHARE = 5, 2, 0.005
 #: A document that keeps less than this share of its words without such lines is depleted.
 LEAST_LEFT = 0.5
 
@@ -67,9 +70,12 @@ def profiles(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
     return rows.mapInArrow(tidied(run), _PROFILE)
 
 
-def verdicts(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def verdicts(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, least_left: float = LEAST_LEFT, shared: bool = False) -> DataFrame:
     """A row for each row of docs: doc_id, key, the statistics, base_failed, frequent (hashes of its lines above the limits), kept.
 
+    With shared also n_shared_words and shared, the same for the lines above the limits or above the lower
+    ones, either of which suffices; kept is decided by the frequent lines alone.
+
     Lines are counted by host over different documents: equal texts count once, so that a page which is
     merely copied isn't taken for boilerplate (copies are for the near-duplicate stage). Counts are
     pre-aggregated before their shuffle, and only lines above the limits are joined back. A null text is
@@ -78,13 +84,18 @@ def verdicts(docs: DataFrame, text: str = "text", host: str = "source", min_docs
     p = materialise(profiles(docs, text, host), "profiles")
     once = p.groupBy("host", "key").agg(F.first("lines").alias("lines"))
     hosts = once.groupBy("host").agg(F.count("*").alias("host_docs"))
-    counts = once.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    frequent = counts.join(F.broadcast(hosts) if _few(hosts) else hosts, "host").where(F.col("docs") > F.col("host_docs") * host_share).select("host", "h")
+    counts = once.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > (min(min_docs, ENOUGH_DOCS, FLOOR_DOCS) if shared else min_docs))
+    above = (F.col("docs") > min_docs) & (F.col("docs") > F.col("host_docs") * host_share)
+    low = (F.col("docs") > ENOUGH_DOCS) | ((F.col("docs") > FLOOR_DOCS) & (F.col("docs") > F.col("host_docs") * FLOOR_SHARE))
+    frequent = counts.join(F.broadcast(hosts) if _few(hosts) else hosts, "host").where(above | low if shared else above).select("host", "h", *([above.alias("above")] if shared else []))
     lines = p.select("doc_id", "key", "host", F.explode("lines").alias("l")).select("doc_id", "key", "host", F.col("l.h").alias("h"), F.col("l.words").alias("words"))
-    removed = lines.join(frequent, ["host", "h"]).distinct().groupBy("doc_id", "key", "host").agg(F.sum("words").alias("n_frequent_words"), F.collect_list("h").alias("frequent"))
+    sums = [F.sum("words").alias("n_frequent_words"), F.collect_list("h").alias("frequent")]
+    if shared:
+        sums = [F.sum(F.when(F.col("above"), F.col("words"))).alias("n_frequent_words"), F.collect_list(F.when(F.col("above"), F.col("h"))).alias("frequent"), F.sum("words").alias("n_shared_words"), F.collect_list("h").alias("shared")]
+    removed = lines.join(frequent, ["host", "h"]).distinct().groupBy("doc_id", "key", "host").agg(*sums)
     base = p.drop("lines")
     same = [base[c].eqNullSafe(removed[c]) for c in ("doc_id", "key", "host")]
-    out = base.join(removed, same[0] & same[1] & same[2], "left").select(*[base[c] for c in base.columns], F.coalesce("n_frequent_words", F.lit(0).cast("bigint")).alias("n_frequent_words"), "frequent")
+    out = base.join(removed, same[0] & same[1] & same[2], "left").select(*[base[c] for c in base.columns], F.coalesce("n_frequent_words", F.lit(0).cast("bigint")).alias("n_frequent_words"), "frequent", *(["n_shared_words", "shared"] if shared else []))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_frequent_words") < F.col("n_words") * F.lit(least_left)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
@@ -96,8 +107,14 @@ def _few(hosts: DataFrame, most: int = 10_000) -> bool:
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The rows of docs that pass, with their frequent lines removed from the text; docs' own columns."""
-    v = verdicts(docs, text, host, **limits).where("kept").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("host").alias("_h"), "frequent").dropDuplicates(["_d", "_k", "_h"])
+    """The rows of docs that pass, with their frequent and shared lines removed from the text; docs' own columns.
+
+    Where less than least_left of the words would stay without the shared lines, only the frequent ones go: on a
+    host with some near copies of a document all its lines are shared, and one of the copies has to survive.
+    """
+    v = verdicts(docs, text, host, **limits, shared=True).where("kept")
+    most = F.col("n_words") * F.lit(1 - limits.get("least_left", LEAST_LEFT))
+    v = v.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("host").alias("_h"), F.when(F.col("n_shared_words") <= most, F.col("shared")).otherwise(F.col("frequent")).alias("frequent")).dropDuplicates(["_d", "_k", "_h"])
     kept = docs.join(v, docs["doc_id"].cast("bigint").eqNullSafe(v._d) & (text_hash(text) == v._k) & F.coalesce(docs[host].cast("string"), F.lit("")).eqNullSafe(v._h))
 
     names = list(docs.columns)

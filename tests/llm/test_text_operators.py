@@ -131,6 +131,25 @@ def test_op2(docs, none):
     assert Counter(r.doc_id for r in out.collect()) == +kept
 
 
+def test_either_limit_removes_shared_lines(spark):
+    ship(spark)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    own = lambda n: " ".join(word() for _ in range(n))
+    licence, rare = "This work is  licensed.", "seen twice"
+    rows = []
+    for host, docs, having in (("large", 1000, 40), ("small", 30, 3)):  # 4 % of a large host, 10 % of a small one
+        rows += [(len(rows) + i, own(60) + (f"\n{licence}\n" if i < having else "\n") + own(5) + (f"\n{rare}" if i < 2 else ""), host) for i in range(docs)]
+    copied = [own(12) for _ in range(6)]
+    copies = range(len(rows), len(rows) + 9)
+    rows += [(i, "\n".join([*copied, own(12)]), "large") for i in copies]
+    out = {r.doc_id: r.text for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert len(out) == len(rows)
+    assert not any(licence in t for t in out.values()) and sum(rare in t for t in out.values()) == 4
+    assert all(out[i] == rows[i][1] for i in copies)  # near copies keep their lines: they are for a later stage
+    assert all(out[i] == "\n".join(x for x in t.split("\n") if x != licence) for i, t, _ in rows)
+
+
 def components(rows, n, share):
     sets = []
     for r in rows:
