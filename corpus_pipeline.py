@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, and with them the documents of which nothing is left."""
-    return _counted(linededup.without_repeated_runs(docs).where("n_removed_lines = 0 or text rlike '[^ \\t-\\r]'"))
+    """Later repeated runs of lines, and long lines, go, and with them the documents of which nothing is left."""
+    return _counted(linededup.without_repeated_runs(docs, long_words=linededup.LONG_WORDS).where("n_removed_lines = 0 or text rlike '[^ \\t-\\r]'"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,35 +15,45 @@ from .common import materialise, text_hash, text_or_empty
 
 #: Lines in a window: the shortest run that is surely found.
 RUN = 2
+#: Words of a line that is a run of its own in the pipeline.
+LONG_WORDS = 50
 
 
-def repeated_runs(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
+def repeated_runs(docs: DataFrame, text: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
     """(doc_id, key, gone): the line numbers (from 0) that lie in runs found earlier; only rows with such lines.
 
     Lines are equal if they are so trimmed and in lower case; lines without words neither match nor break
     a run. Earlier: by doc_id (null last), then text hash, then line. Equal rows count as one place, so
     neither loses its lines to the other. Each window is one narrow row; counts merge before the shuffle.
+
+    With long_words a line of that many words is a run of its own, and so is a document of fewer than `run`
+    lines as a whole: it goes if its lines stood together anywhere earlier. Other windows shorter than
+    `run` are only what these are compared with.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(text).alias("key"), text_or_empty(text).alias("t"))
-    line = "lower(trim(BOTH ' \\t\\r\\x0b\\f' FROM x))"
-    rows = rows.selectExpr("doc_id", "key", f"transform(split(t, '\\n'), (x, i) -> named_struct('i', i, 'h', case when {line} = '' then null else xxhash64({line}) end)) as l")
-    rows = rows.selectExpr("doc_id", "key", "filter(l, x -> x.h is not null) as l").where(f"size(l) >= {run}")
-    at = f"transform(sequence(0, size(l) - {run}), s -> slice(l, s + 1, {run}))"
-    # The selected minimum, what surrounds it, and the lines that the window covers.
-    window = rows.selectExpr("doc_id", "key", f"explode({at}) as w").selectExpr("doc_id", "key", "array_min(w.h) as selected", "xxhash64(w.h) as around", "w.i as lines")
+    line = "lower(trim(BOTH ' \\t\\r\\u000b\\u000c' FROM x))"
+    long = "" if long_words is None else f", 'long', size(split({line}, '[ \\t\\r\\u000b\\u000c]+')) >= {long_words}"
+    rows = rows.selectExpr("doc_id", "key", f"transform(split(t, '\\n'), (x, i) -> named_struct('i', i, 'h', case when {line} = '' then null else xxhash64({line}) end{long})) as l")
+    rows = rows.selectExpr("doc_id", "key", "filter(l, x -> x.h is not null) as l").where(f"size(l) >= {run if long_words is None else 1}")
+    at, own = f"transform(sequence(0, size(l) - {run}), s -> slice(l, s + 1, {run}))", "true"
+    if long_words is not None:
+        at = f"flatten(transform(sequence(1, least({run}, size(l))), n -> transform(sequence(0, size(l) - n), s -> slice(l, s + 1, n))))"
+        own = f"size(w) = least({run}, whole) or (size(w) = 1 and w[0].long)"
+    # The selected minimum, what surrounds it, the lines that the window covers, and whether it can go.
+    window = rows.selectExpr("doc_id", "key", "size(l) as whole", f"explode({at}) as w").selectExpr("doc_id", "key", "array_min(w.h) as selected", "xxhash64(w.h) as around", "w.i as lines", f"{own} as own")
     window = materialise(window, "lines")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", F.col("lines")[0].alias("at"))
-    first = window.groupBy("selected", "around").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    later = window.join(first.select("selected", "around", "first"), ["selected", "around"]).where(place > F.col("first"))
+    first = window.groupBy("selected", "around").agg(F.min(place).alias("first"), F.max(F.when(F.col("own"), place)).alias("last")).where("first < last")
+    later = window.where("own").join(first.select("selected", "around", "first"), ["selected", "around"]).where(place > F.col("first"))
     return later.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
-def without_repeated_runs(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
+def without_repeated_runs(docs: DataFrame, text: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
     """docs with the lines of later repeated runs deleted from the text, and n_lines and n_removed_lines.
 
     A null text stays null and has no lines; a text all of whose lines go is empty, its row stays.
     """
-    gone = repeated_runs(docs, text, run).withColumnsRenamed({"doc_id": "_d", "key": "_k", "gone": "_g"})
+    gone = repeated_runs(docs, text, run, long_words).withColumnsRenamed({"doc_id": "_d", "key": "_k", "gone": "_g"})
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     out = docs.select(*own).join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone._d) & (text_hash(text) == gone._k), "left")
     out = out.withColumn("n_lines", F.expr(f"cast(coalesce(size(split(`{text}`, '\\n')), 0) as bigint)"))

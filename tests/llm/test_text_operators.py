@@ -397,6 +397,36 @@ def test_op10(docs, none):
                 assert (r.n_lines, r.n_removed_lines) == (t.count("\n") + 1, len(gone[r.doc_id]))
 
 
+def test_long_lines_and_short_documents_are_runs(spark):
+    ship(spark)
+    word = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    long, under, short = word(1, 50), word(2, 49), "a short line"
+    texts = [
+        f"{word(3, 5)}\n{long}\n{word(4, 5)}\n{short}\n{under}",
+        f"{word(5, 5)}\n  {long.upper()} \n{word(6, 5)}",  # a long line in other surroundings
+        f"{word(7, 5)}\n{under}\n{short}\n{word(8, 5)}",  # no long line, no run of two
+        short,  # a document of one line that stood earlier
+        f"\n{word(9, 5)}\n ",
+        f"{word(9, 5)}",
+        f"{word(10, 5)}\n{word(11, 5)}\n{word(9, 5)}",  # a short line of a longer document stays
+        word(12, 5),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    expect = list(texts)
+    expect[1], expect[3], expect[5] = f"{word(5, 5)}\n{word(6, 5)}", "", ""
+    assert [r.text for r in linededup.without_repeated_runs(docs, long_words=50).orderBy("doc_id").collect()] == expect
+    assert [r.text for r in linededup.without_repeated_runs(docs).orderBy("doc_id").collect()] == texts
+    # Only white space is trimmed.
+    ends = spark.createDataFrame([(0, "the roof\nbox 10"), (1, "the roo\nox 1"), (2, "\x0bthe roof\x0c\n box 10\t")], "doc_id bigint, text string")
+    assert [r.n_removed_lines for r in linededup.without_repeated_runs(ends).orderBy("doc_id").collect()] == [0, 0, 2]
+    # In runs of three a document of two lines is one as a whole.
+    pair = spark.createDataFrame([(0, "q\na\nb\nz"), (1, "a\nb"), (2, "b\na"), (3, "y\na\nb\nq")], "doc_id bigint, text string")
+    assert [r.n_removed_lines for r in linededup.without_repeated_runs(pair, run=3, long_words=50).orderBy("doc_id").collect()] == [0, 2, 0, 0]
+    import corpus_pipeline
+
+    assert corpus_pipeline.line_stage(spark, docs.selectExpr("*", "'en' lang", "'s' source"), "").count() == len(texts) - 2
+
+
 def test_chunk_ids_are_the_tokenizers():
     """Words, letters beyond Latin, marks, special tokens, odd separators and long chunks; small memories and new ones."""
     import pyarrow as pa
