@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame and SQL functions only.
 
-Seeds are what four patterns find. Every token that looks like an identifier is an instance; its lexical
-pattern is the word before it and its shape. Over the graph of patterns and distinct instances, scores go
+Seeds are what four patterns find. Every run of digits or token that looks like an identifier is an instance;
+its lexical pattern is the word before it and its shape. Over the graph of patterns and distinct instances, scores go
 back and forth: a pattern is as good as its instances, an instance as good as its patterns. Patterns of
 high confidence then yield the identifiers that no seed pattern matches.
 
@@ -26,9 +26,14 @@ PATTERNS = {
 }
 #: Texts without a match of this have none of the pattern's.
 NEEDS = {"email": "contains(t, '@')", "ip": "t rlike '[0-9][.][0-9]'", "card": "t rlike '[0-9][ -]?[0-9]'", "phone": "t rlike '[+][0-9]'"}
-#: Identifier-like tokens: from a token's start, with a digit or an at sign.
-TOKEN = r"(?<![^ \t-\r])(?=[^ \t-\r0-9@]*+[0-9@])[^ \t-\r]++"
-#: Rounds of scoring; confidence and number of distinct seeds that a pattern needs; digits that an instance needs.
+_END = r"(?=[).,;:!?\x22\x27\]}>-]*+(?![^ \t-\r]))"
+_QUAD = rf"\(*+[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![0-9]){_END}"
+_RUN = rf"[+(]*+[0-9]++(?:(?:[.-]|\)?+(?:-|(?<![0-9]{{7}})[ ](?!{_QUAD}))?+\(?+)[0-9]{{1,8}}+(?![^ \t-\r.,;:!?\x22\x27()\[\]{{}}<>-]))*+{_END}"
+#: Identifier-like runs, from a token's start: dotted quads; digits over several tokens, with brackets, hyphens,
+#: dots and single spaces (not after seven digits: such a number stands alone); or a token with a digit or an at sign.
+TOKEN = rf"(?<![^ \t-\r])(?:{_QUAD}|{_RUN}|(?=[^ \t-\r0-9@]*+[0-9@])[^ \t-\r]++)"
+#: Rounds of scoring; confidence and number of distinct seeds that a pattern needs; digits that an instance needs,
+#: unless it is a dotted quad or has an at sign.
 ROUNDS, LEAST_CONFIDENCE, LEAST_SEEDS, LEAST_DIGITS = 3, 0.8, 5, 7
 
 
@@ -88,15 +93,16 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("m", F.expr(f"case when t rlike '[0-9@]' then regexp_extract_all(t, r'{TOKEN}', 0) else {none} end"))
     rows = rows.withColumn("gaps", F.expr(f"case when size(m) > 0 then split(t, r'{TOKEN}', -1) else {none} end"))
     placed = _placed("m", "gaps")
-    wanted = f"length(regexp_replace(x.v, '[^0-9]', '')) >= {LEAST_DIGITS} or contains(x.v, '@')"
+    wanted = f"length(regexp_replace(x.v, '[^0-9]', '')) >= {LEAST_DIGITS} or contains(x.v, '@') or x.v rlike '^[(]*[0-9]+([.][0-9]+){{3}}$'"
     tokens = f"""transform(filter({placed}, x -> {wanted}), x -> named_struct('s', x.s, 'e', x.e, 'v', lower(x.v),
         'l', lower(regexp_extract(x.g, r'([^ \\t-\\r]*)[ \\t-\\r]*$', 1)), 'k', get(filter(base, b -> b.s < x.e and b.e > x.s), 0).k))"""
     rows = rows.selectExpr("doc_id", "key", *[f"cast(size({k}) as bigint) as n_{k}" for k in KINDS], "base", f"case when size(m) > 0 then {tokens} else null end as tokens")
     rows = materialise(rows, "seeds")
     seen = rows.where("size(tokens) > 0").select("doc_id", "key", F.explode("tokens").alias("x")).select("doc_id", "key", "x.*")
+    # A run of several tokens has its shape alone as a pattern too: that says more than a single token's.
     # Shape: runs of letters and digits collapsed, and how many digits, in steps of four.
     shape = "concat(regexp_replace(regexp_replace(v, '[a-z]+', 'a'), '[0-9]+', '9'), '/', length(regexp_replace(v, '[^0-9]', '')) div 4)"
-    seen = materialise(seen.selectExpr("doc_id", "key", "s", "e", "xxhash64(v) as i", f"concat(l, ' ', right({shape}, 64)) as p", "k"), "tokens")
+    seen = materialise(seen.selectExpr("doc_id", "key", "s", "e", "xxhash64(v) as i", f"explode(array_distinct(filter(array(l, if(contains(v, ' '), '', null)), w -> w is not null))) as w", f"right({shape}, 64) as shape", "k").selectExpr("doc_id", "key", "s", "e", "i", "concat(w, ' ', shape) as p", "k"), "tokens")
     edges = materialise(seen.groupBy("p", "i").agg(F.max("k").alias("k")), "graph")
     score = edges.groupBy("i").agg(F.max(F.col("k").isNotNull().cast("double")).alias("score"))
     pattern = None

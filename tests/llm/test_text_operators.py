@@ -371,6 +371,27 @@ def test_contexts_find_unseen_identifiers(spark):
         assert len(r.spans) == 1 and (len(r.base) == 1) == (i % 10 > 0)
 
 
+def test_identifiers_of_several_tokens_are_found_whole(spark):
+    ship(spark)
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choices("123456789", k=n))
+    rows, at = [], {}
+    for i in range(120):
+        seed = i % 10 > 0
+        # The seed pattern runs on from a phone to an address behind it; quads that aren't seeds have an octet over 255.
+        phone = f"+1 ({digits(3)}) {digits(3)}-{digits(4)}"
+        quad = f"10.0.{i % 10}.{i % 7 + 1}" if seed else f"10.0.0.{300 + i // 10}"
+        text = f"ring {phone}{',' if seed else ' 190.137.223.204'} or ping {quad} ({i} of {digits(2)} 3rd)"
+        rows.append((i, text))
+        at[i] = [(5, 4, 5 + len(phone)), (text.index("ping ") + 5, 2, text.index("ping ") + 5 + len(quad))]
+    found = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, _ in rows:
+        spans = [(x.s, x.k, x.e) for x in found[i].spans]
+        assert at[i][0] in spans and at[i][1] in spans and len(found[i].base) == (2 if i % 10 else 1)
+    found = re.compile(re.sub(r"\\x22", '"', pii.TOKEN)).findall("tel +1 (826) 555-4081. 4111 1111 1111 1111, 10.0.0.1; 12 345abc 555-4081 3rd a@b.c 2020. 12 1234567 89 +1 (2) 3 10.1.2.3")
+    assert found == ["+1 (826) 555-4081", "4111 1111 1111 1111", "10.0.0.1", "12", "345abc", "555-4081", "3rd", "a@b.c", "2020", "12 1234567", "89", "+1 (2) 3", "10.1.2.3"]
+
+
 def test_op10(docs, none):
     assert linededup.without_repeated_runs(none).count() == 0
     for run in (1, 2, 3):
