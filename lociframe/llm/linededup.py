@@ -1,9 +1,8 @@
-"""Removal of repeated runs of lines by winnowing over line hashes, with DataFrame functions only.
+"""Removal of repeated runs of lines by exact windows of line hashes, with DataFrame functions only.
 
-Of each window of RUN lines with words, the least line hash (the rightmost of equal ones) is selected;
-any run of RUN lines or more that stands in two places shares its windows' minima, which is the
-guarantee. Selected hashes are joined with the position where their window stood first. A match extends
-over the neighbouring windows that match too, both ways; what was there before is deleted.
+Every window of RUN lines with words is hashed as a whole, none are thinned out: a run of RUN lines or more
+that stands in two places shares all its windows, so no match has to be extended. Windows are grouped by their
+hash, and the lines of each that stands later than the first of its group are deleted.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", run: int = RUN, long_word
     if long_words is not None:
         at = f"flatten(transform(sequence(1, least({run}, size(l))), n -> transform(sequence(0, size(l) - n), s -> slice(l, s + 1, n))))"
         own = f"size(w) = least({run}, whole) or (size(w) = 1 and w[0].long)"
-    # The selected minimum, what surrounds it, the lines that the window covers, and whether it can go.
+    # The least line hash and the whole window's, the lines that the window covers, and whether it can go.
     window = rows.selectExpr("doc_id", "key", "size(l) as whole", f"explode({at}) as w").selectExpr("doc_id", "key", "array_min(w.h) as selected", "xxhash64(w.h) as around", "w.i as lines", f"{own} as own")
     window = materialise(window, "lines")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key", F.col("lines")[0].alias("at"))
