@@ -20,8 +20,10 @@ from .common import column, tidied
 # Names from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe object embed video audio canvas svg math noembed noframes area param rp dialog".split())
-BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe embed video audio canvas noembed noframes area param rp".split())
+#: Not shown in svg and in math. Of svg's other elements only text and foreignobject show text.
+UNSEEN_SVG, UNSEEN_MATH = frozenset("defs symbol clippath mask pattern marker desc metadata".split()), frozenset("annotation annotation-xml".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 APART = frozenset("article aside blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr main menu nav ol p pre section table ul".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,12 +51,14 @@ _WHITE = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "hidden", "start", "value")
+    __slots__ = ("tag", "kids", "hidden", "start", "value", "foreign")
 
-    def __init__(self, tag: str, attrs: str = ""):
+    def __init__(self, tag: str, attrs: str = "", within: str = ""):
         self.tag = tag
+        # What the text in it belongs to: "svg" (not shown), "svg text", "math", or "" for HTML.
+        self.foreign = tag if tag in ("svg", "math") else "" if tag == "foreignobject" else "svg text" if within == "svg" and tag == "text" else within
         self.kids: list[Node | str] = []
-        self.hidden = tag in HIDDEN
+        self.hidden = tag in HIDDEN or tag in (UNSEEN_SVG if within.startswith("svg") else UNSEEN_MATH if within == "math" else ())
         self.start = self.value = None
         if attrs:
             found = {a.lower(): html.unescape(x or y or z) for a, x, y, z in reversed(_ATTR.findall(attrs))}
@@ -62,6 +66,9 @@ class Node:
             self.start, self.value = found.get("start"), found.get("alt") if tag == "img" else found.get("value")
             if tag == "details" and "open" not in found:
                 self.start = "closed"
+            self.hidden = self.hidden or (tag == "dialog" and "open" not in found)
+        else:
+            self.hidden = self.hidden or tag == "dialog"
 
 
 def parse(page: str) -> Node:
@@ -78,7 +85,7 @@ def parse(page: str) -> Node:
                 return
 
     def text(part: str) -> None:
-        if part:
+        if part and stack[-1].foreign != "svg":
             if stack[-1].tag == "head" and part.strip():
                 stack.pop()
             stack[-1].kids.append(html.unescape(part))
@@ -125,13 +132,14 @@ def parse(page: str) -> Node:
                 stack.pop()
             if tag in ("a", "button"):
                 close({tag}, SCOPE)
-            node = Node(tag, m[3])
+            within = stack[-1].foreign
+            node = Node(tag, m[3], within)
             stack[-1].kids.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 raw, at = page[at : end.start() if end else n], end.end() if end else n
                 node.kids.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
-            elif tag not in VOID and tag not in ("svg", "math") or tag in ("svg", "math") and not (m[3] or "").rstrip().endswith("/"):
+            elif tag not in VOID and not ((within or node.foreign) and (m[3] or "").rstrip().endswith("/")):
                 stack.append(node)
     return root
 
@@ -187,6 +195,8 @@ def _render(node: Node, depth: int) -> list[str]:
             stack.pop()
             if stack and this.tag in BLOCK:
                 out.apart() if this.tag in APART else out.end()
+            elif this.tag == "text" and this.foreign:
+                out.add(" ")
             continue
         frame[1] += 1
         kid = this.kids[i]
@@ -231,6 +241,8 @@ def _render(node: Node, depth: int) -> list[str]:
                 out.apart() if tag in APART else out.end()
             elif tag in ("q",):
                 out.add('"')
+            elif tag == "text" and kid.foreign:
+                out.add(" ")
             stack.append([kid, 0])
     out.end()
     return out.done

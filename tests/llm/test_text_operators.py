@@ -322,6 +322,14 @@ def test_op8(spark, none):
         html_text.page_text(broken)
 
 
+def test_op8_shows_formulas_drawn_text_open_dialogs_and_fallbacks():
+    page = """<p>Let <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding="t">no</annotation></semantics></math> be.</p>
+<p>See<svg><title>no</title><defs><text>no</text></defs>no<path d="M0"/><g><text x="1">Ax<tspan>is</tspan></text><rect/><text>Top</text></g>
+<foreignObject><b>in it</b></foreignObject></svg>end</p><svg/><p>On</p>
+<dialog>no</dialog><dialog open>Shown</dialog><dialog id=d>no</dialog><object data="f"><param name=a>Instead <b>of it</b></object>"""
+    assert html_text.page_text(page) == "Let x=1 be.\n\nSee Axis Top in itend\n\nOn\n\nShown\nInstead of it"
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
