@@ -14,9 +14,10 @@ import re
 import zlib
 from array import array
 from bisect import bisect_right
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from .bpe import ODD, chunks
 from .common import CACHES, column, materialise, text_or_empty, tidied, trim
 
 CAPACITY, END_ID = 4096, 1
-#: Fillings that one step of the search may look at, and steps that the whole search may take back.
-#: They bound the search for fewer sequences, not the pieces: all pieces are packed whatever they are.
-NODES, BACKTRACKS = 300, 200
+#: Steps of the whole search, and fillings that are put in order of waste at a time. The steps bound the time of the
+#: search for fewer sequences, not the pieces: all pieces are packed whatever they are.
+NODES, TOGETHER = 2_000_000, 16
 
 
 @dataclass(frozen=True)
@@ -41,93 +42,194 @@ class Pattern:
     times: int
 
 
-def fillings(largest: int, counts: dict[int, int], capacity: int, most_waste: int, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated ways to fill the sequence that holds `largest`: (waste, lengths), least waste first.
+class Pieces:
+    """Pieces left by length, with a bit set of the lengths that are left; taking and giving back are undone steps."""
 
-    A filling is dominated if a piece left out fits in its waste, or could take the place of one or more
-    of its pieces; so each branch takes a length either as often as it chooses or leaves it out, from the
-    longest that fits, and ends only when nothing left out fits. Branches that cannot come below
-    `most_waste` with all that may still be added are pruned. The first branch is best fit itself.
+    def __init__(self, counts: dict[int, int]):
+        self.left = {k: n for k, n in counts.items() if n}
+        self.lengths = sum(1 << k for k in self.left)
+        self.total = sum(k * n for k, n in self.left.items())
+
+    def longest(self, most: int) -> int:
+        """The longest length left that is at most `most`; 0 if there is none."""
+        return (self.lengths & ((1 << (most + 1)) - 1)).bit_length() - 1 if most > 0 and self.lengths & ((1 << (most + 1)) - 1) else 0
+
+    def up_to(self, most: int) -> int:
+        """Tokens of the pieces of at most that length."""
+        return sum(k * n for k, n in self.left.items() if k <= most)
+
+    def take(self, need: Counter, times: int) -> None:
+        for k, n in need.items():
+            self.total -= k * n * times
+            self.left[k] -= n * times
+            if not self.left[k]:
+                del self.left[k]
+                self.lengths &= ~(1 << k)
+
+    def give(self, need: Counter, times: int) -> None:
+        for k, n in need.items():
+            self.total += k * n * times
+            self.left[k] = self.left.get(k, 0) + n * times
+            self.lengths |= 1 << k
+
+
+def undominated(chosen: list[int], waste: int, others: int) -> bool:
+    """Whether no piece left out (lengths: the bits of `others`) could take the place of chosen ones or of none.
+
+    A piece x replaces chosen ones of sum s if s <= x <= s + waste: whatever packing has this filling has an
+    equally good one with x here and those in x's place. One piece of the same length is no replacement.
     """
-    sizes = sorted(k for k, n in counts.items() if n)
-    room = capacity - largest
-    found: dict[tuple[int, ...], int] = {}
-    left = nodes
-    best = most_waste + 1
-
-    def walk(limit: int, room: int, chosen: list[int], skipped: int) -> bool:
-        nonlocal left, best
-        left -= 1
-        i = bisect_right(sizes, min(limit, room))
-        while i and counts[sizes[i - 1]] <= sum(1 for c in chosen if c == sizes[i - 1]) + (sizes[i - 1] == largest):
-            i -= 1
-        if not i:
-            if room < skipped and room < best:  # a length left out would fit: dominated
-                found[tuple(chosen)] = room
-                best = room
-            return room == 0
-        take = sizes[i - 1]
-        if walk(take, room - take, [*chosen, take], skipped):
-            return True
-        # Without `take`: only worth while if shorter pieces can still fill the room below it.
-        if left > 0 and i >= 2 and room - take < best and len(chosen) < 64:
-            return walk(sizes[i - 2], room, chosen, min(skipped, take))
+    one, more = 0, 0  # bit sets of the sums of one chosen piece, and of two or more
+    for c in chosen:
+        more |= (more | one) << c
+        one |= 1 << c
+    if more & others:
         return False
-
-    walk(largest, room, [], capacity + 1)
-    return sorted((w, p) for p, w in found.items())
+    reach, done = (1 | one | more) << 1, 1  # sums raised by 1 to `waste`
+    if not waste:
+        return True
+    while done < waste:
+        step = min(done, waste - done)
+        reach |= reach << step
+        done += step
+    return not reach & others
+
+
+def fillings(pieces: Pieces, room: int, most_waste: int, budget: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """All undominated fillings of `room` with pieces left, as (waste, lengths); best fit's comes first.
+
+    Lengths are chosen from the longest that fits down, each as often as it fits and then less often. A
+    branch ends where the room can't be filled up to `most_waste`, or up to less than the shortest piece that it
+    leaves out. Each step takes one from `budget`; without budget the enumeration ends early. The pieces may
+    change between two fillings if they are as before when the next one is asked for.
+    """
+    path: list[list[int]] = []  # length, times, pieces' tokens below it, shortest length left out before it
+    rest, short, limit = pieces.up_to(room), room + 1, room
+    budget[0] -= len(pieces.left) // 8
+    while True:
+        while (k := pieces.longest(min(limit, room))) and budget[0] > 0:
+            budget[0] -= 1
+            n = pieces.left[k]
+            # Lengths that were passed over as too long for the room can't be used below either.
+            c = min(n, room // k)
+            rest -= k * n
+            path.append([k, c, rest, short])
+            room -= k * c
+            limit = k - 1
+        chosen = [k for k, c, _, _ in path for _ in range(c)]
+        if room <= most_waste and room < short:
+            budget[0] -= 8 + len(chosen)
+            others = pieces.lengths & ((1 << (room + sum(chosen) + 1)) - 1)
+            for k, c, _, _ in path:
+                if c == pieces.left[k]:
+                    others &= ~(1 << k)
+            if undominated(chosen, room, others):
+                yield room, tuple(chosen)
+        while path:
+            budget[0] -= 1
+            k, c, below, short = path[-1]
+            if not c or budget[0] <= 0:
+                room += k * c
+                path.pop()
+                continue
+            path[-1][1] = c - 1
+            room += k
+            short, rest, limit = min(short, k), below, k - 1
+            if room - rest <= min(most_waste, short - 1):
+                break
+        else:
+            return
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: for each t, those of the pieces above capacity - t and above half of it,
+    and what the pieces from t to half the capacity need beyond the room that the latter leave."""
+    best = -(-sum(k * n for k, n in counts.items()) // capacity)
+    lengths = sorted(counts)
+    for t in [0, *(k for k in lengths if 2 * k <= capacity)]:
+        alone = sum(n for k, n in counts.items() if k > capacity - t)
+        large = [(k, n) for k, n in counts.items() if capacity - t >= k and 2 * k > capacity]
+        small = sum(k * n for k, n in counts.items() if 2 * k <= capacity and k >= t)
+        room = sum((capacity - k) * n for k, n in large)
+        best = max(best, alone + sum(n for _, n in large) + max(0, -(-(small - room) // capacity)))
+    return best
 
 
-def completion(counts: dict[int, int], capacity: int, backtracks: int = BACKTRACKS) -> list[Pattern]:
-    """Patterns that pack all of counts (length: pieces) into few sequences.
+def completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
+    """Patterns that pack all of counts (length: pieces) into as few sequences as the search finds.
 
-    Depth first over the largest length left. At each step the fillings are tried in order of waste; a
-    branch ends once its waste exceeds what the incumbent (best fit decreasing at first) still allows. A
-    pattern is applied as often as its counts last, so there are at most about as many steps as lengths.
-    The search stops at the lower bound, or after `backtracks` steps back.
+    Bin completion: depth first over the longest piece left, each time through the undominated fillings
+    around it, a few at a time by waste. A filling is applied as often as the counts last, later less often. A
+    branch ends once its waste exceeds what a packing better than the incumbent may have; best fit decreasing is
+    the first incumbent. The search ends at the lower bound, when nothing is left to try (the result is then
+    optimal), or after `nodes` steps: a limit of time, whatever it leaves is packed as the incumbent has it.
     """
-    total = sum(k * n for k, n in counts.items())
-    bound = max(-(-total // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
     best = best_fit_decreasing(counts, capacity)
-    fewest = sum(p.times for p in best)
-    # Frames of the search: (counts left, patterns so far, waste so far, fillings to try).
-    start = {k: n for k, n in counts.items() if n}
-    # Only the latest frames are kept, so that the driver's memory stays bounded.
-    stack: deque = deque([(start, [], 0, [None])], maxlen=max(2, backtracks))
-    while stack:
-        left, done, waste, options = stack.pop()
-        allowed = (fewest - 1) * capacity - total  # waste of a packing that is better by one
-        if not left:
-            n = sum(p.times for p in done)
-            if n < fewest:
-                best, fewest = done, n
-            if fewest <= bound:
-                break
-            backtracks -= 1
-            if backtracks <= 0:
-                break
-            continue
-        if waste > allowed:
-            continue
-        largest = max(left)
-        if options == [None]:
-            options = fillings(largest, left, capacity, capacity)[:3]
-        (w, filling), rest = options[0], options[1:]
-        if rest:
-            stack.append((left, done, waste, rest))
-        need: dict[int, int] = {largest: 1}
-        for x in filling:
-            need[x] = need.get(x, 0) + 1
-        times = min(left[k] // n for k, n in need.items())
-        after = dict(left)
-        for k, n in need.items():
-            after[k] -= n * times
-            if not after[k]:
-                del after[k]
-        stack.append((after, [*done, Pattern((largest, *filling), times)], waste + w * times, [None]))
+    fewest, total, bound = sum(p.times for p in best), sum(k * n for k, n in counts.items()), lower_bound(counts, capacity)
+    if fewest <= bound:
+        return best
+    pieces, budget = Pieces(counts), [nodes]
+    waste = used = 0
+    # Frames: [longest, its fillings to come, those at hand, pattern applied now or None, its need, times]
+    frames: list[list] = []
+
+    def open_frame() -> None:
+        longest = pieces.longest(capacity)
+        spare = (fewest - 1) * capacity - total - waste
+        frames.append([longest, fillings_around(pieces, longest, capacity, spare, budget), [], None, None, 0])
+
+    open_frame()
+    while frames and fewest > bound:
+        frame = frames[-1]
+        longest, source, ready, filling, need, times = frame
+        if filling is not None:  # back from below: take the pattern back, then apply it less often
+            pieces.give(need, times)
+            waste -= filling[0] * times
+            used -= times
+            times -= 1
+        if budget[0] <= 0:
+            break
+        if filling is None or not times:
+            if not ready:
+                ready.extend(sorted(islice(source, TOGETHER), reverse=True))
+            if not ready:
+                frames.pop()
+                continue
+            filling = ready.pop()
+            need = Counter((longest, *filling[1]))
+            times = min(pieces.left[k] // n for k, n in need.items())
+            # Each sequence more of this waste has to leave the packing better than the incumbent.
+            if filling[0]:
+                times = min(times, ((fewest - 1) * capacity - total - waste) // filling[0])
+            if times <= 0:
+                frame[3:] = None, None, 0
+                continue
+        frame[3:] = filling, need, times
+        pieces.take(need, times)
+        waste += filling[0] * times
+        used += times
+        if not pieces.left:
+            if used < fewest:
+                fewest, best = used, [Pattern((f[0], *f[3][1]), f[5]) for f in frames]
+        elif used + -(-pieces.total // capacity) < fewest:
+            open_frame()
     return best
 
 
+def fillings_around(pieces: Pieces, longest: int, capacity: int, spare: int, budget: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """The fillings of the sequence of one piece of the longest length, as if that piece were taken out while they are looked for."""
+    one = Counter((longest,))
+    pieces.take(one, 1)
+    source = fillings(pieces, capacity - longest, spare, budget)
+    while True:
+        found = next(source, None)
+        pieces.give(one, 1)
+        if found is None:
+            return
+        yield found
+        pieces.take(one, 1)
+
+
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
     """Best fit on counts: fill round the largest with the longest that fits; the first incumbent."""
     left = {k: n for k, n in counts.items() if n}
