@@ -28,7 +28,7 @@ def test_reaches_the_optimum_and_beats_best_fit():
     for _ in range(400):
         capacity = rng.choice((20, 100, 1000, 4096))
         low, high = rng.choice((1, capacity // 10, capacity // 6)), rng.choice((capacity, capacity // 2, capacity * 2 // 3))
-        items = [rng.randint(max(1, low), high) for _ in range(rng.randint(0, 3) or rng.randint(6, 12))]
+        items = [rng.randint(max(1, low), high) for _ in range(rng.randint(6, 12))]
         counts = Counter(items)
         packed = packing.completion(counts, capacity)
         back = Counter()
