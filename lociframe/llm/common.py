@@ -56,19 +56,49 @@ def text_hash(col: str = "text") -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only where the session names none and runs on this machine alone."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             base = known.get()
+        elif not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             base = tempfile.mkdtemp(prefix="lociframe-")
             sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it (in any case): for columns that pass through with df's own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: list[str], n: str = "n", least: int = 20_000, most: int = 1_000) -> DataFrame:
+    """rows joined with groups, one row for each value of keys, whose column n says how many rows have it.
+
+    A key of more than `least` rows and more than one in `most` of all is dealt to several tasks by a hash of the
+    columns `by`, and its group's row goes to each; there are fewer than `most` such keys, so they are broadcast.
+    """
+    total, top = groups.agg(F.sum(n), F.max(n)).first()
+    limit = max(least, (total or 0) // most)
+    if (top or 0) <= limit:
+        return rows.join(groups, keys)
+    hot = F.broadcast(groups.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("_parts")))
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_parts"))).cast("int")
+    dealt = rows.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
+    to = groups.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(to, [*keys, "_part"]).drop("_part")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, so lost executors cost one task each."""
     spark = df.sparkSession
