@@ -14,16 +14,17 @@ exhaustively, under the length and positional filters, so components are exact.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, likely, materialise, merged_sketch, mix, rolling, strings, text_hash, text_or_empty, tidied, word_hashes
+from .common import column, fresh, likely, materialise, merged_sketch, mix, rolling, spread_join, strings, text_hash, text_or_empty, tidied, word_hashes
 from .components import connected_components
 
 #: Counters of either frequency sketch, of n-grams and of words (16 MB as 64-bit integers), in chunks.
@@ -124,9 +125,9 @@ def _classes_and_counts(docs: DataFrame, text: str, n: int) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """(doc_id, key, n_shingles, class, component_id) for each row of docs; links at Jaccard similarity >= num/den.
+    """(doc_id, key, n_shingles, class, group, component_id) for each row of docs; links at Jaccard similarity >= num/den.
 
-    component_id is the least doc_id that links lead to. Null and empty texts have the empty set and link
+    group names what links connect, component_id is the least doc_id in it. Null and empty texts have the empty set and link
     with nothing; rows with a null doc_id link like others and count as the greatest; repeated rows are
     equal sets. Memory: a batch of texts and the sketch in each worker.
     """
@@ -163,10 +164,10 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num:
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))], names=["gram", "class", "size", "place"])
 
-    listed = docs.select(text_or_empty(text).alias("t")).mapInArrow(tidied(prefixes), "gram bigint, class bigint, size int, place int")
-    of = Window.partitionBy("gram")
-    shared = listed.select("*", F.min(F.struct("place", "size", "class")).over(of).alias("pivot"), F.min("class").over(of).alias("lo"), F.max("class").over(of).alias("hi")).where("lo <> hi")
-    lists = materialise(shared.drop("lo", "hi").dropDuplicates(["gram", "class"]), "shared")
+    listed = materialise(docs.select(text_or_empty(text).alias("t")).mapInArrow(tidied(prefixes), "gram bigint, class bigint, size int, place int"), "prefixes")
+    pivots = listed.groupBy("gram").agg(F.min(F.struct("place", "size", "class")).alias("pivot"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"))
+    pivots = materialise(pivots.where("lo <> hi").drop("lo", "hi"), "pivots")
+    lists = materialise(spread_join(listed, pivots, ["gram"], ["class"]).drop("n").dropDuplicates(["gram", "class"]), "shared")
     order.unpersist()
 
     one = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("k"))).alias("r"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
@@ -213,39 +214,48 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num:
 
     star = lists.select("class", "size", "place", F.col("pivot.class").alias("pc"), F.col("pivot.size").alias("ps"), F.col("pivot.place").alias("pp")).where("class <> pc")
     star = star.where(passing({"size": F.col("size"), "place": F.col("place")}, {"size": F.col("ps"), "place": F.col("pp")}))
-    edges = verified(star.select(F.least("class", "pc").alias("a"), F.greatest("class", "pc").alias("b")).distinct())
+    star = materialise(star.select(F.least("class", "pc").alias("a"), F.greatest("class", "pc").alias("b")).distinct(), "star")
+    edges = verified(star)
     own = connected_components(edges).select(F.col("node").alias("class"), "label")
-    labelled = materialise(lists.join(own, "class", "left").select("gram", "class", "size", "place", F.coalesce("label", "class").alias("label")), "labelled")
-
-    x = labelled.select("gram", F.col("class").alias("a"), F.col("size").alias("sa"), F.col("place").alias("pa"), F.col("label").alias("la"))
-    y = labelled.select("gram", F.col("class").alias("b"), F.col("size").alias("sb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
-    # Lists whose members are all connected have nothing left to test.
-    open_lists = labelled.groupBy("gram").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("gram")
-    rest = x.join(open_lists, "gram").join(y, "gram").where("a < b and la <> lb").where(passing({"size": F.col("sa"), "place": F.col("pa")}, {"size": F.col("sb"), "place": F.col("pb")}))
-    edges = edges.union(verified(rest.select("a", "b").distinct()))
+    # Sizes that may link are in one band or in two that follow each other; a little wider, so that rounding loses none.
+    band = F.floor(F.log("size") / F.lit(math.log(den / num) * (1 + 1e-9))).cast("int") if num < den else F.col("size")
+    labelled = materialise(lists.join(own, "class", "left").select("gram", "class", "size", "place", band.alias("band"), F.coalesce("label", "class").alias("label")), "labelled")
+
+    # Pairs are formed of members of different labels only: what is connected has nothing left to test.
+    groups = labelled.select("gram", "band", "label").distinct()
+    lower = groups.select("gram", "band", F.col("label").alias("la"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("next"))
+    upper = groups.select("gram", F.col("band").alias("next"), F.col("label").alias("lb"))
+    apart = lower.join(upper, ["gram", "next"]).where("la <> lb and (band <> next or la < lb)")
+    x = labelled.select("gram", "band", F.col("label").alias("la"), F.col("class").alias("x"), F.col("size").alias("sx"), F.col("place").alias("px"))
+    y = labelled.select("gram", F.col("band").alias("next"), F.col("label").alias("lb"), F.col("class").alias("y"), F.col("size").alias("sy"), F.col("place").alias("py"))
+    rest = apart.join(x, ["gram", "band", "la"]).join(y, ["gram", "next", "lb"]).where(passing({"size": F.col("sx"), "place": F.col("px")}, {"size": F.col("sy"), "place": F.col("py")}))
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    edges = edges.union(verified(rest.join(star, ["a", "b"], "left_anti")))  # pairs that failed before aren't verified again
     labels = connected_components(edges)
 
     known = rows.groupBy("class").agg(F.min("doc_id").alias("first"))
     label = labels.join(known, labels.node == known["class"]).select("node", "label", "first")
     least = label.groupBy("label").agg(F.min("first").alias("component"))
-    linked_class = label.join(least, "label").select(F.col("node").alias("class"), "component")
-    per_class = known.join(linked_class, "class", "left").select("class", F.coalesce("component", "first").alias("component"))
+    linked_class = label.join(least, "label").select(F.col("node").alias("class"), "component", "label")
+    per_class = known.join(linked_class, "class", "left").select("class", F.coalesce("component", "first").alias("component"), F.coalesce("label", "class").alias("group"))
     out = rows.join(per_class, "class")
     empty = F.col("n_shingles") == 0
-    return out.select("doc_id", "key", "n_shingles", "class", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select("doc_id", "key", "n_shingles", "class", "group", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The rows of docs without those that link, directly or through others, to a row with a lesser doc_id.
+    """Of each group of rows that link, directly or through others, the row of the least doc_id; docs' own columns.
 
-    Of equal doc_ids in a component the least text hash stays, of equal rows one; rows without words all stay.
+    Groups are what links connect, whatever the doc_ids: unrelated rows whose doc_ids are equal or null all
+    stay. A null doc_id counts as the greatest; of equal doc_ids in a group the least text hash stays, of rows
+    equal in both one. Rows without words (null and empty texts too) all stay. No column name is reserved.
     """
-    rows = similarity_components(docs, text, **how).withColumnsRenamed({"doc_id": "_d", "key": "_k", "component_id": "_c", "n_shingles": "_n"})
-    words = rows.where("_n > 0")
-    first = words.groupBy("_c").agg(F.min(F.struct(F.col("_d").isNull().alias("n"), F.col("_d"), F.col("_k"))).alias("f")).select(F.col("f._d").alias("_d"), F.col("f._k").alias("_k"), F.lit(False).alias("_e"))
-    empties = rows.where("_n = 0").select("_d", "_k", F.lit(True).alias("_e")).distinct()
-    stay = first.union(empties)
-    joined = docs.join(stay, docs["doc_id"].cast("bigint").eqNullSafe(stay._d) & (text_hash(text) == stay._k))
-    if words.groupBy("_d", "_k").count().where("count > 1").isEmpty():
-        return joined.select(docs.columns)
-    return joined.where("not _e").select(docs.columns).dropDuplicates(["doc_id"]).union(joined.where("_e").select(docs.columns))
+    rows = similarity_components(docs, text, **how)
+    d, k = fresh(docs, "_d", "_k")
+    words = materialise(rows.where("n_shingles > 0").select("group", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key").alias("r")), "grouped")
+    stay = words.groupBy("group").agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias(d), F.col("r.key").alias(k))
+    found = docs.join(stay, docs["doc_id"].cast("bigint").eqNullSafe(stay[d]) & (text_hash(text) == stay[k]))
+    if not words.groupBy("r").count().where("count > 1").isEmpty():
+        found = found.dropDuplicates([d, k])
+    wordless = docs.where(~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike("[^ \\t-\\r]"))
+    return found.select([docs[c] for c in docs.columns]).union(wordless)
