@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, strings, text_hash, text_or_empty, tidied
+from .common import column, fresh, materialise, spread_join, strings, text_hash, text_or_empty, tidied
 
 SYMBOLS = "#*$%&|<>"
 
@@ -24,8 +24,8 @@ LEAST_LEFT = 0.5
 
 
 def normalised_line(line: str) -> str:
-    """Lower case, white space collapsed: what decides whether two lines are the same."""
-    return " ".join(line.lower().split())
+    """Lower case, white space (space and 09-0D) collapsed: what decides whether two lines are the same."""
+    return b" ".join(line.lower().encode().split()).decode()
 
 
 def base_statistics(text: str) -> tuple[int, int, int, int, int]:
@@ -82,17 +82,19 @@ def verdicts(docs: DataFrame, text: str = "text", host: str = "source", min_docs
     empty and fails the base rules; a null host is a host of its own; repeated rows get the same verdict.
     """
     p = materialise(profiles(docs, text, host), "profiles")
-    once = p.groupBy("host", "key").agg(F.first("lines").alias("lines"))
+    once = p.groupBy("host", "key").agg(F.first("lines").alias("lines"), F.count("*").alias("copies"))
     hosts = once.groupBy("host").agg(F.count("*").alias("host_docs"))
-    counts = once.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > (min(min_docs, ENOUGH_DOCS, FLOOR_DOCS) if shared else min_docs))
+    counts = once.select("host", "copies", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("docs"), F.sum("copies").alias("n")).where(F.col("docs") > (min(min_docs, ENOUGH_DOCS, FLOOR_DOCS) if shared else min_docs))
     above = (F.col("docs") > min_docs) & (F.col("docs") > F.col("host_docs") * host_share)
     low = (F.col("docs") > ENOUGH_DOCS) | ((F.col("docs") > FLOOR_DOCS) & (F.col("docs") > F.col("host_docs") * FLOOR_SHARE))
-    frequent = counts.join(F.broadcast(hosts) if _few(hosts) else hosts, "host").where(above | low if shared else above).select("host", "h", *([above.alias("above")] if shared else []))
+    # n: the rows of documents that a line is joined to, copies included, for which it is dealt to tasks.
+    frequent = counts.join(F.broadcast(hosts) if _few(hosts) else hosts, "host").where(above | low if shared else above).select("host", "h", "n", *([above.alias("above")] if shared else []))
+    frequent = materialise(frequent, "frequent")
     lines = p.select("doc_id", "key", "host", F.explode("lines").alias("l")).select("doc_id", "key", "host", F.col("l.h").alias("h"), F.col("l.words").alias("words"))
     sums = [F.sum("words").alias("n_frequent_words"), F.collect_list("h").alias("frequent")]
     if shared:
         sums = [F.sum(F.when(F.col("above"), F.col("words"))).alias("n_frequent_words"), F.collect_list(F.when(F.col("above"), F.col("h"))).alias("frequent"), F.sum("words").alias("n_shared_words"), F.collect_list("h").alias("shared")]
-    removed = lines.join(frequent, ["host", "h"]).distinct().groupBy("doc_id", "key", "host").agg(*sums)
+    removed = spread_join(lines, frequent, ["host", "h"], ["doc_id", "key"]).drop("n").distinct().groupBy("doc_id", "key", "host").agg(*sums)
     base = p.drop("lines")
     same = [base[c].eqNullSafe(removed[c]) for c in ("doc_id", "key", "host")]
     out = base.join(removed, same[0] & same[1] & same[2], "left").select(*[base[c] for c in base.columns], F.coalesce("n_frequent_words", F.lit(0).cast("bigint")).alias("n_frequent_words"), "frequent", *(["n_shared_words", "shared"] if shared else []))
@@ -107,15 +109,18 @@ def _few(hosts: DataFrame, most: int = 10_000) -> bool:
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The rows of docs that pass, with their frequent and shared lines removed from the text; docs' own columns.
+    """The rows of docs that pass, with their frequent and shared lines removed from the text; docs' own columns, whatever their names.
+
+    Null and empty texts fail; repeated rows all stay or all go; rows of null or equal doc_ids are told apart by their texts.
 
     Where less than least_left of the words would stay without the shared lines, only the frequent ones go: on a
     host with some near copies of a document all its lines are shared, and one of the copies has to survive.
     """
     v = verdicts(docs, text, host, **limits, shared=True).where("kept")
     most = F.col("n_words") * F.lit(1 - limits.get("least_left", LEAST_LEFT))
-    v = v.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("host").alias("_h"), F.when(F.col("n_shared_words") <= most, F.col("shared")).otherwise(F.col("frequent")).alias("frequent")).dropDuplicates(["_d", "_k", "_h"])
-    kept = docs.join(v, docs["doc_id"].cast("bigint").eqNullSafe(v._d) & (text_hash(text) == v._k) & F.coalesce(docs[host].cast("string"), F.lit("")).eqNullSafe(v._h))
+    d, k, h, gone = fresh(docs, "_d", "_k", "_h", "_frequent")
+    v = v.select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("host").alias(h), F.when(F.col("n_shared_words") <= most, F.col("shared")).otherwise(F.col("frequent")).alias(gone)).dropDuplicates([d, k, h])
+    kept = docs.join(v, docs["doc_id"].cast("bigint").eqNullSafe(v[d]) & (text_hash(text) == v[k]) & F.coalesce(docs[host].cast("string"), F.lit("")).eqNullSafe(v[h]))
 
     names = list(docs.columns)
 
@@ -123,12 +128,12 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", **l
         for b in batches:
             i = b.schema.get_field_index(text)
             new = []
-            for t, drop in zip(b.column(i).to_pylist(), column(b, "frequent"), strict=True):
+            for t, drop in zip(b.column(i).to_pylist(), column(b, gone), strict=True):
                 if t and drop:
-                    gone = set(drop)
-                    t = "\n".join(x for x in t.split("\n") if not (y := normalised_line(x)) or xxhash.xxh3_64_intdigest(y.encode()) - (1 << 63) not in gone)
+                    drop = set(drop)
+                    t = "\n".join(x for x in t.split("\n") if not (y := normalised_line(x)) or xxhash.xxh3_64_intdigest(y.encode()) - (1 << 63) not in drop)
                 new.append(t)
             cols = [pa.array(new, b.schema.field(i).type) if j == i else c for j, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).select(names)
 
-    return kept.select(*docs.columns, "frequent").mapInArrow(tidied(run), docs.schema)
+    return kept.select(*[docs[c] for c in names], gone).mapInArrow(tidied(run), docs.schema)
