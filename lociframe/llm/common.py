@@ -82,6 +82,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL for body with a name for the value, which is then computed once a row, in nested lambdas too."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: list[str], n: str = "n", least: int = 20_000, most: int = 1_000) -> DataFrame:
     """rows joined with groups, one row for each value of keys, whose column n says how many rows have it.
 

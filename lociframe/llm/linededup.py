@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, spread_join, text_hash, text_or_empty
+from .common import fresh, let, materialise, spread_join, text_hash, text_or_empty
 
 #: Lines in a window: the shortest run that is surely found.
 RUN = 2
@@ -23,19 +23,14 @@ _BLANK = r" \t\r\u000b\u000c"
 _LINE = f"lower(trim(BOTH '{_BLANK}' FROM x))"
 
 
-def _let(name: str, value: str, body: str) -> str:
-    """SQL for body with a name for the value, which is computed once a row."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
-
-
 def _selected(size: str, own: str) -> str:
     """SQL for array<struct<selected, matches>>: the lines of l that windows of `size` lines select, and these windows."""
     least = "-array_min(transform(w, x -> named_struct('h', x.h, 'j', -x.j))).j"
     window = f"named_struct('p', {least}, 'around', xxhash64(w.h), 'lines', w.i, 'own', {own})"
-    windows = f"transform(sequence(0, size(l) - {size}), s -> {_let('w', f'slice(l, s + 1, {size})', window)})"
+    windows = f"transform(sequence(0, size(l) - {size}), s -> {let('w', f'slice(l, s + 1, {size})', window)})"
     # Windows that select the same line follow each other: the first of them speaks for all.
     first = f"case when s = 0 or ws[s - 1].p <> v.p then filter(slice(ws, s + 1, {size}), u -> u.p = v.p) end"
-    return _let("ws", windows, f"filter(transform(ws, (v, s) -> named_struct('selected', l[v.p].h, 'matches', {first})), z -> z.matches is not null)")
+    return let("ws", windows, f"filter(transform(ws, (v, s) -> named_struct('selected', l[v.p].h, 'matches', {first})), z -> z.matches is not null)")
 
 
 def selected_lines(docs: DataFrame, text: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
@@ -89,7 +84,7 @@ def without_repeated_runs(docs: DataFrame, text: str = "text", run: int = RUN, l
     gone = repeated_runs(docs, text, run, long_words).withColumnsRenamed({"doc_id": d, "key": k, "gone": g})
     out = docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone[d]) & (text_hash(text) == gone[k]), "left")
     # The lines that stay are looked up by number in one split of the text.
-    kept = f"get(transform(array(split(`{text}`, '\\n')), {split} -> array_join(transform(array_except(sequence(0, size({split}) - 1), `{g}`), i -> {split}[i]), '\\n')), 0)"
+    kept = let(split, f"split(`{text}`, '\\n')", f"array_join(transform(array_except(sequence(0, size({split}) - 1), `{g}`), i -> {split}[i]), '\\n')")
     return out.select(
         *[F.expr(f"case when `{g}` is null then `{text}` else {kept} end").alias(c) if c == text else docs[c] for c in docs.columns],
         F.expr(f"cast(coalesce(size(split(`{text}`, '\\n')), 0) as bigint)").alias("n_lines"),
