@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +50,10 @@ _NONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 
 
+#: Elements that can be open at once, as in browsers: what is nested deeper stands beside the deepest one.
+DEPTH = 512
+
+
 class Node:
     __slots__ = ("tag", "kids", "hidden", "start", "value", "foreign")
 
@@ -140,7 +144,8 @@ def parse(page: str) -> Node:
                 raw, at = page[at : end.start() if end else n], end.end() if end else n
                 node.kids.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
             elif tag not in VOID and not ((within or node.foreign) and (m[3] or "").rstrip().endswith("/")):
-                stack.append(node)
+                if len(stack) < DEPTH or (node.hidden and not stack[-1].hidden):
+                    stack.append(node)
     return root
 
 
@@ -180,11 +185,22 @@ class Lines:
 
 
 def layout(root: Node) -> list[str]:
-    """Lines of a tree, without recursion over its depth for inline and block elements; tables and lists nest by frames."""
-    return _render(root, 0)
+    """Lines of a tree. Lists and tables in it are laid out by generators of their own, each waiting for the one it yields."""
+    stack, lines = [_render(root, 0)], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(lines))
+            lines = None
+        except StopIteration as done:
+            stack.pop()
+            lines = done.value
+    return lines
+
+
+Layout = Generator["Layout", list[str], list[str]]
 
 
-def _render(node: Node, depth: int) -> list[str]:
+def _render(node: Node, depth: int) -> Layout:
     out = Lines()
     # Frames of (node, child index); deep trees of blocks need no recursion, only nested lists and tables do.
     stack: list[list] = [[node, 0]]
@@ -221,14 +237,14 @@ def _render(node: Node, depth: int) -> list[str]:
             for line in _plain(kid).strip("\n").split("\n"):
                 out.put(line.rstrip())
             out.apart()
-        elif depth < 40 and tag in ("ul", "ol", "menu"):
+        elif tag in ("ul", "ol", "menu"):
             out.apart() if not depth else out.end()
-            for line in _list(kid, depth):
+            for line in (yield _list(kid, depth)):
                 out.put(line)
             out.apart() if not depth else out.end()
-        elif depth < 40 and tag == "table":
+        elif tag == "table":
             out.apart()
-            for line in _table(kid, depth):
+            for line in (yield _table(kid, depth)):
                 out.put(line)
             out.apart()
         elif tag == "details" and kid.start == "closed":
@@ -263,7 +279,7 @@ def _plain(node: Node) -> str:
     return "".join(out).replace("\r\n", "\n").replace("\r", "\n")
 
 
-def _list(node: Node, depth: int) -> list[str]:
+def _list(node: Node, depth: int) -> Layout:
     try:
         number = int(node.start) if node.tag == "ol" and node.start else 1
     except ValueError:
@@ -279,20 +295,20 @@ def _list(node: Node, depth: int) -> list[str]:
         if kid.tag != "li":
             box = Node("div")
             box.kids = [kid]
-            out += ["  " + x if x else x for x in _render(box, depth + 1)]
+            out += ["  " + x if x else x for x in (yield _render(box, depth + 1))]
             continue
         if node.tag == "ol":
             number = int(kid.value) if (kid.value or "").isdigit() else number
             mark, number = f"{number}. ", number + 1
         else:
             mark = "- "
-        body = [x for x in _render(kid, depth + 1) if x]
+        body = [x for x in (yield _render(kid, depth + 1)) if x]
         for j, line in enumerate(body or [""]):
             out.append((mark + line).rstrip() if not j else " " * len(mark) + line)
     return out
 
 
-def _table(node: Node, depth: int) -> list[str]:
+def _table(node: Node, depth: int) -> Layout:
     captions, rows = [], []
     todo: list[Node | str] = list(reversed(node.kids))
     loose: list[Node | str] = []
@@ -304,11 +320,14 @@ def _table(node: Node, depth: int) -> list[str]:
         elif kid.hidden or kid.tag in ("colgroup", "col"):
             continue
         elif kid.tag == "caption":
-            captions += [x for x in _render(kid, depth + 1) if x]
+            captions += [x for x in (yield _render(kid, depth + 1)) if x]
         elif kid.tag in ("tbody", "thead", "tfoot"):
             todo += reversed(kid.kids)
         elif kid.tag == "tr":
-            cells = [[x for x in _render(c, depth + 1) if x] for c in kid.kids if isinstance(c, Node) and not c.hidden and c.tag in ("td", "th")]
+            cells = []
+            for c in kid.kids:
+                if isinstance(c, Node) and not c.hidden and c.tag in ("td", "th"):
+                    cells.append([x for x in (yield _render(c, depth + 1)) if x])
             stray = [x for x in kid.kids if (x.strip() if isinstance(x, str) else not x.hidden and x.tag not in ("td", "th"))]
             if stray:
                 loose += stray
@@ -320,7 +339,7 @@ def _table(node: Node, depth: int) -> list[str]:
     if loose:  # what isn't in a cell stands before the table
         box = Node("div")
         box.kids = loose
-        out = [x for x in _render(box, depth + 1) if x] + out
+        out = [x for x in (yield _render(box, depth + 1)) if x] + out
     n = max((len(r) for r in rows), default=0)
     wide = [max((width(x) for r in rows if c < len(r) for x in r[c]), default=0) for c in range(n)]
     for r in rows:
@@ -338,7 +357,8 @@ def extracted(pages: DataFrame, source: str = "html", into: str = "text") -> Dat
     """pages with the visible text of `source` in place of that column.
 
     A null page is null, an empty one or one without visible text the empty string; unclosed tags and
-    comments end with the page. Rows are independent: no shuffle, and memory is bounded by a batch of pages.
+    comments end with the page; elements nested deeper than DEPTH count as siblings of the deepest. Repeated rows
+    stay, other columns pass through whatever their names. Rows are independent: no shuffle, and memory is bounded by a batch of pages.
     """
     kept = [c for c in pages.columns if c not in (source, into)]
     schema = pages.select(*kept).schema.add(into, "string")
