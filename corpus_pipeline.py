@@ -3,41 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lociframe.llm import jaccard, linededup, packing, pii, quality
 from lociframe.llm.common import documents, materialise
 from lociframe.llm.queries import tokenizer_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-
-def _counted(docs: DataFrame) -> DataFrame:
-    """The columns of documents, n_chars as the text now is."""
-    return docs.selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as bigint) as n_chars")
+def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of like, whatever others there are, with n_chars as the text now is (null of a null text)."""
+    return docs.select([F.length("text").cast(like.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in like.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail go; boilerplate lines go from the others."""
-    return _counted(quality.quality_rules(docs))
+    """Documents that fail go, null and empty texts among them; boilerplate lines go from the others. Equal rows fare alike."""
+    return _counted(quality.quality_rules(docs), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines, and long lines, go, and with them the documents of which nothing is left."""
-    return _counted(linededup.without_repeated_runs(docs, long_words=linededup.LONG_WORDS).where("n_removed_lines = 0 or text rlike '[^ \\t-\\r]'"))
+    """Later repeated runs of lines, and long lines, go, and with them the documents of which nothing is left; null and empty texts stay."""
+    return _counted(linededup.without_repeated_runs(docs, long_words=linededup.LONG_WORDS).where("n_removed_lines = 0 or text rlike '[^ \\t-\\r]'"), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link at five-word shingles and a similarity of 0.8 one stays."""
-    return _counted(jaccard.keep_one(docs, n=5, num=4, den=5))
+    """Of documents that link at five-word shingles and a similarity of 0.8 the one of least doc_id stays; those without words all stay."""
+    return _counted(jaccard.keep_one(docs, n=5, num=4, den=5), docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to their kind in brackets."""
-    return _counted(pii.redacted(docs))
+    """Personal data and secrets give way to their kind in brackets; null and empty texts stay."""
+    return _counted(pii.redacted(docs), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' tokens and their places in sequences; little is remembered, as the JVM has grown by now."""
+    """The pieces of the documents' tokens and their places in sequences, null and empty texts as the end id alone; little is remembered, as the JVM has grown by now."""
     return packing.packed_documents(docs, tokenizer_path(), remembered=100_000, text_bytes=2 << 20)
 
 
@@ -49,7 +48,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: SQL can't express winnowed runs joined with tokenizers' ids; tests compare the stages' operators with brute force.
+#: SQL can't express scored patterns or tokenizers' ids; tests compare the stages and the whole with brute force.
 ORACLE_SQL = None
 
 
