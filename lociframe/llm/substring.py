@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, likely, materialise, mix, rolling, signed, strings, text_hash, text_or_empty, tidied, window_argmin_right, word_hashes
+from .common import column, likely, materialise, mix, rolling, signed, spread_join, strings, text_hash, text_or_empty, tidied, window_argmin_right, word_hashes
 
 LENGTH, GRAM = 35, 8
 
@@ -72,11 +72,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     a = p.select("doc_id", "key", F.explode("anchors").alias("a")).select("doc_id", "key", "a.*")
     # An anchor that occurs once is out. `one` says that all its regions are equal.
     seen = a.groupBy("anchor").agg(F.count("*").alias("n"), F.min("region").alias("lo"), F.max("region").alias("hi")).where("n > 1")
-    met = materialise(a.join(seen.select("anchor", (F.col("lo") == F.col("hi")).alias("one")), "anchor"), "met")
+    seen = materialise(seen.select("anchor", "n", (F.col("lo") == F.col("hi")).alias("one")), "seen")
+    met = materialise(spread_join(a, seen, ["anchor"], ["doc_id", "key", "first"]).drop("n"), "met")
     mixed = met.where("not one").groupBy("anchor", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "first")).alias("rep"))
     mixed = materialise(mixed, "regions")
     whole = met.where("one").select("doc_id", "key", "first", "last")
-    again = met.where("not one").join(mixed.where("n > 1").select("anchor", "region"), ["anchor", "region"]).select("doc_id", "key", "first", "last")
+    again = spread_join(met.where("not one"), mixed.where("n > 1").select("anchor", "region", "n"), ["anchor", "region"], ["doc_id", "key", "first"]).select("doc_id", "key", "first", "last")
     # One occurrence of each of an anchor's different regions gives its windows. Where the region repeats, so do they.
     ask = mixed.select("anchor", F.col("rep.doc_id").alias("doc_id"), F.col("rep.key").alias("key"), F.col("rep.first").alias("first"), "n")
     ask = materialise(ask.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("ask")), "ask")
@@ -95,8 +96,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(starts), pa.int64()), pa.array([key] * len(starts), pa.int64()), pa.array(np.repeat(anchor[i], reach)), pa.array(signed(mix(hashes[starts]))), pa.array(starts.astype(np.int32)), pa.array(n.astype(np.int64))], names=["doc_id", "key", "anchor", "window", "start", "n"])
 
     w = materialise(asked.mapInArrow(tidied(windows), "doc_id bigint, key bigint, anchor bigint, window bigint, start int, n bigint"), "windows")
-    twice = w.groupBy("anchor", "window").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("n > 1 and c > 1").select("anchor", "window")
-    single = w.where("n = 1").join(twice, ["anchor", "window"]).select("doc_id", "key", F.col("start").alias("first"), F.col("start").alias("last"))
+    twice = w.groupBy("anchor", "window").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("n > 1 and c > 1")
+    twice = materialise(twice.select("anchor", "window", F.col("c").alias("n")), "twice")
+    single = spread_join(w.where("n = 1").drop("n"), twice, ["anchor", "window"], ["doc_id", "key", "start"]).select("doc_id", "key", F.col("start").alias("first"), F.col("start").alias("last"))
     return p, whole.union(again).union(single)
 
 
