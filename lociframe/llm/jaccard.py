@@ -221,14 +221,16 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 3, num:
     band = F.floor(F.log("size") / F.lit(math.log(den / num) * (1 + 1e-9))).cast("int") if num < den else F.col("size")
     labelled = materialise(lists.join(own, "class", "left").select("gram", "class", "size", "place", band.alias("band"), F.coalesce("label", "class").alias("label")), "labelled")
 
-    # Pairs are formed of members of different labels only: what is connected has nothing left to test.
-    groups = labelled.select("gram", "band", "label").distinct()
-    lower = groups.select("gram", "band", F.col("label").alias("la"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("next"))
-    upper = groups.select("gram", F.col("band").alias("next"), F.col("label").alias("lb"))
-    apart = lower.join(upper, ["gram", "next"]).where("la <> lb and (band <> next or la < lb)")
-    x = labelled.select("gram", "band", F.col("label").alias("la"), F.col("class").alias("x"), F.col("size").alias("sx"), F.col("place").alias("px"))
-    y = labelled.select("gram", F.col("band").alias("next"), F.col("label").alias("lb"), F.col("class").alias("y"), F.col("size").alias("sy"), F.col("place").alias("py"))
-    rest = apart.join(x, ["gram", "band", "la"]).join(y, ["gram", "next", "lb"]).where(passing({"size": F.col("sx"), "place": F.col("px")}, {"size": F.col("sy"), "place": F.col("py")}))
+    # Pairs are formed of members of different labels only: what is connected has nothing left to test. The filters
+    # depend on size and place alone, so cells of these pass or fail as a whole before their members are paired.
+    cells = labelled.select("gram", "band", "label", "size", "place").distinct()
+    lower = cells.select("gram", "band", F.col("label").alias("la"), F.col("size").alias("sx"), F.col("place").alias("px"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("next"))
+    upper = cells.select("gram", F.col("band").alias("next"), F.col("label").alias("lb"), F.col("size").alias("sy"), F.col("place").alias("py"))
+    near = passing({"size": F.col("sx"), "place": F.col("px")}, {"size": F.col("sy"), "place": F.col("py")})
+    apart = lower.join(upper, ["gram", "next"]).where("la <> lb and (band <> next or la < lb)").where(near).drop("band", "next")
+    x = labelled.select("gram", F.col("label").alias("la"), F.col("size").alias("sx"), F.col("place").alias("px"), F.col("class").alias("x"))
+    y = labelled.select("gram", F.col("label").alias("lb"), F.col("size").alias("sy"), F.col("place").alias("py"), F.col("class").alias("y"))
+    rest = apart.join(x, ["gram", "la", "sx", "px"]).join(y, ["gram", "lb", "sy", "py"])
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     edges = edges.union(verified(rest.join(star, ["a", "b"], "left_anti")))  # pairs that failed before aren't verified again
     labels = connected_components(edges)
