@@ -57,13 +57,13 @@ def range_join(points: DataFrame, regions: DataFrame, *, on: str = "chrom", pos:
         return p.join(r, match).select(*points.columns, *names)
     if levels == 1:
         return p.join(r, match, how).select(*points.columns)
-    # With several levels a point has a row for each: outer, semi and anti joins are decided by point.
-    tagged = points.withColumn("_id", F.monotonically_increasing_id())
-    hit = range_join(tagged, regions, on=on, pos=pos, start=start, end=end, bin_width=bin_width)
+    # With several levels a point has a row for each: what else is asked is decided by place, on which alone matches depend.
     if how == "left":
-        extra = [c for c in hit.columns if c not in tagged.columns]
-        return tagged.join(hit.select("_id", *extra), "_id", "left").drop("_id")
-    return tagged.join(hit.select("_id").distinct(), "_id", how).drop("_id")
+        hit, rest = (range_join(points, regions, on=on, pos=pos, start=start, end=end, how=h, bin_width=bin_width) for h in ("inner", "left_anti"))
+        return hit.unionByName(rest, allowMissingColumns=True)
+    places = points.select(on, pos).distinct()
+    hit = range_join(places, regions, on=on, pos=pos, start=start, end=end, bin_width=bin_width).select(F.col(on).alias("_c"), F.col(pos).alias("_x")).distinct()
+    return points.join(hit, (points[on] == hit._c) & (points[pos] == hit._x), how).select(*points.columns)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, *, on: str = "chrom", start: str = "start", end: str = "end", prefix: str = "r_", closed_start: bool = False, bin_width: int = BIN) -> DataFrame:

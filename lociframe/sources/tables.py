@@ -10,21 +10,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vcf import Tag, VcfHeader, _typed, with_order
-
-
-def _head(spark: SparkSession, path: str) -> list[str]:
-    out = []
-    for r in spark.read.text(path).limit(1 << 16).toLocalIterator():
-        if not r.value.startswith("#"):
-            break
-        out.append(r.value)
-    return out
+from .vcf import Tag, VcfHeader, _typed, head_lines, sniff, with_order
 
 
 def read_regions(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[DataFrame, dict[str, Tag]]:
     """A region table with ##INFO lines and a '#chr start end tags' title: (rows with _ord, the tags bound)."""
-    head = _head(spark, path)
+    head = head_lines(spark, path)
     declared = VcfHeader.parse(head).info
     title = [x.strip() for x in head[-1].lstrip("#").split("\t")]
     if len(title) < 4:
@@ -64,7 +55,7 @@ def read_rename_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """A table whose last comment line is its title, the first column being chr or chrom."""
-    title = [x.strip() for x in _head(spark, path)[-1].lstrip("#").split("\t")]
+    title = [x.strip() for x in head_lines(spark, path)[-1].lstrip("#").split("\t")]
     if title[0].lower() not in ("chr", "chrom"):
         raise ValueError(f"{path}: the title must start with chr or chrom")
     rows = with_order(spark.read.text(path).where("value <> '' and not startswith(value, '#')")).select("_vid", F.split("value", "\t").alias("c"))
@@ -92,7 +83,7 @@ def chunked(sequences: DataFrame, size: int = 1 << 16, overlap: int = 2048) -> D
 
 def read_gea(spark: SparkSession, path: str) -> DataFrame:
     """Gene elements: 13 columns; blocks 0-based half-open, alignment as an array of (op, len), geometry not yet derived."""
-    if not spark.read.text(path).head(1)[0].value.startswith("##fileformat=GenomeElementAnnotation"):
+    if sniff("\n".join(head_lines(spark, path)[:1]).encode()) != "gea":
         raise ValueError(f"{path} isn't a gene element table")
     c = with_order(spark.read.text(path).where("value <> '' and not startswith(value, '#')")).select(F.col("_vid").alias("_ord"), F.split("value", "\t").alias("c"))
     g = lambda i: F.when(F.get("c", F.lit(i)) != ".", F.get("c", F.lit(i)))
@@ -150,7 +141,7 @@ def read_matrices(spark: SparkSession, path: str) -> DataFrame:
     """name, weights array<array<double>>: each after a '>' line, four numbers a row."""
     r = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
     lines = F.filter(F.split(F.trim("value"), "\n"), lambda x: F.trim(x) != "")
-    return r.select(F.split(lines[0], r"\s")[0].alias("name"), F.transform(F.slice(lines, 2, 10_000), lambda x: F.transform(F.split(F.trim(x), r"\s+"), lambda y: y.cast("double"))).alias("weights"))
+    return r.select(F.split(lines[0], r"\s")[0].alias("name"), F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.transform(F.split(F.trim(x), r"\s+"), lambda y: y.cast("double"))).alias("weights"))
 
 
 def read_sam(spark: SparkSession, path: str, least_quality: int = 0, mask: int = 0x4 | 0x200 | 0x400) -> DataFrame:
@@ -201,6 +192,7 @@ class Config:
     gene_list: str | None = None
     reference: str | None = None
     gene_columns: list[tuple[str, str]] = field(default_factory=list)
+    modules: list[str] = field(default_factory=list)
 
 
 REFUSED = frozenset(["CHROM", "POS", "REF", "ALT", "QUAL", "INFO", "FORMAT"])
@@ -224,7 +216,8 @@ def load_config(text: str, base: str = "") -> Config:
     path = lambda p: p if not p or "://" in p or p.startswith("/") else posixpath.join(base, p)
     dbs = lambda key: [Database(path(x["file"]), column_list(x.get("columns"))) for x in raw.get(key, []) if x.get("file")]
     gene = next((raw[k] for k in ("mc", "hgvs") if k in raw), {})
-    return Config(dbs("vcf"), dbs("bed"), path(gene.get("gene_data")), path(gene.get("refseq") or gene.get("transcripts")), path(gene.get("trans_list") or gene.get("transcripts_list")), path(gene.get("gene_list") or gene.get("genes_list")), path(raw.get("ref") or raw.get("reference")), column_list(gene.get("columns")))
+    named = [x for key in ("module", "plugins") for x in ([raw[key]] if isinstance(raw.get(key), str) else raw.get(key, []))]
+    return Config(dbs("vcf"), dbs("bed"), path(gene.get("gene_data")), path(gene.get("refseq") or gene.get("transcripts")), path(gene.get("trans_list") or gene.get("transcripts_list")), path(gene.get("gene_list") or gene.get("genes_list")), path(raw.get("ref") or raw.get("reference")), column_list(gene.get("columns")), named)
 
 
 def typed_columns(df: DataFrame, tags: dict[str, Tag]) -> DataFrame:

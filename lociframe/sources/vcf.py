@@ -91,14 +91,26 @@ class VcfHeader:
         return new
 
 
-def read_header(spark: SparkSession, path: str, most: int = 1 << 16) -> VcfHeader:
-    """The header, from the file's first lines (up to `most`)."""
-    head = []
-    for r in spark.read.text(path).limit(most).toLocalIterator():
-        if not r.value.startswith("#"):
-            break
-        head.append(r.value)
-    return VcfHeader.parse(head)
+def head_lines(spark: SparkSession, path: str) -> list[str]:
+    """The comment lines that a file, or the first file of a folder that has any lines, starts with; however many there are."""
+    out: list[str] = []
+    for f in sorted(spark.read.text(path).inputFiles()):
+        n = 1 << 12
+        while True:
+            lines = [r.value for r in spark.read.text(f).limit(n).collect()]
+            end = next((i for i, x in enumerate(lines) if not x.startswith("#")), None)
+            if end is not None:
+                return out + lines[:end]
+            if len(lines) < n:
+                out += lines
+                break
+            n *= 8
+    return out
+
+
+def read_header(spark: SparkSession, path: str) -> VcfHeader:
+    """The header of a file or of a folder of parts, from the lines before the first record."""
+    return VcfHeader.parse(head_lines(spark, path))
 
 
 def sniff(first: bytes) -> str:
@@ -117,9 +129,23 @@ def _typed(raw: Column, tag: Tag) -> Column:
     return F.transform(F.split(raw, ","), one) if kind.startswith("array") else one(raw)
 
 
+#: Bits of _vid for a row's place in its task and for its split in the file; splits are 4 MB or more, files fewer than 2 ** 16.
+ROW_BITS, SPLIT_BITS, SPLIT_BYTES = 33, 14, 1 << 22
+
+
 def with_order(lines: DataFrame) -> DataFrame:
-    """_vid: rows in file order (file, then place within it)."""
-    return lines.withColumn("_vid", F.monotonically_increasing_id())
+    """_vid: rows in file order, by file name, then split, then place within it, however splits are dealt to tasks."""
+    spark = lines.sparkSession
+    files = sorted(lines.inputFiles())
+    if len(files) >= 1 << (63 - ROW_BITS - SPLIT_BITS):
+        raise ValueError("too many files to keep in order")
+    row = F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)
+    split = F.shiftleft(F.floor(F.col("_metadata.file_block_start") / SPLIT_BYTES), ROW_BITS)
+    if len(files) < 2:
+        return lines.withColumn("_vid", split + row)
+    numbered = spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _n bigint")
+    named = lines.select("*", F.col("_metadata.file_path").alias("_file"), (split + row).alias("_at"))
+    return named.join(F.broadcast(numbered), "_file").select(*lines.columns, (F.shiftleft("_n", ROW_BITS + SPLIT_BITS) + F.col("_at")).alias("_vid"))
 
 
 def read_vcf(spark: SparkSession, path: str, header: VcfHeader | None = None, tags: list[str] | None = None) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intervals import range_join
+from ..scratch import shared_folder
 
 
 def annotated_stream(stream: DataFrame, regions: DataFrame, **names) -> DataFrame:
@@ -16,12 +15,16 @@ def annotated_stream(stream: DataFrame, regions: DataFrame, **names) -> DataFram
 
 
 def annotated_once(spark: SparkSession, source: str, regions: DataFrame) -> DataFrame:
-    """Run a file stream of orders to its end, and return each order's first region as a table."""
+    """Run a file stream of orders to its end, and return each order's first region as a table.
+
+    Micro-batches are appended to Parquet files in the shared folder, with their checkpoint beside them.
+    """
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(source.rsplit("/", 1)[0] + "/orders.parque[t]")
+    # A stream reads what a pattern matches: this one matches the table alone, be it a file or a folder.
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{source[:-1]}[{source[-1]}]")
     points = stream.select("o_orderkey", F.lit("c1").alias("chrom"), (F.col("o_orderkey") % 14000).alias("pos"))
-    name = f"annotated_{uuid.uuid4().hex}"
     out = annotated_stream(points, regions, bin_width=64).select("o_orderkey", "pos", "p_partkey")
-    run = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    to = shared_folder(spark, "stream")
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{to}/state").outputMode("append").trigger(availableNow=True).start(f"{to}/rows")
     run.awaitTermination()
-    return spark.table(name).groupBy("o_orderkey", "pos").agg(F.min("p_partkey").alias("p_partkey"))
+    return spark.read.schema(out.schema).parquet(f"{to}/rows").groupBy("o_orderkey", "pos").agg(F.min("p_partkey").alias("p_partkey"))
