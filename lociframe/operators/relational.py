@@ -80,3 +80,19 @@ def top_by(df: DataFrame, on: str, value: str, score: Column, tie: str) -> DataF
 def minus_one_mask(flags: Column, mask: int) -> Column:
     """Reads without any of these flag bits."""
     return flags.bitwiseAND(mask) == 0
+
+
+def numbered(df: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
+    """df with row numbers from 1 by a column of unique values: ranges are counted, then numbered within, so no task has all rows."""
+    ranged = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
+    bounds = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")).where("_n > 0").orderBy("_lo").collect()  # one row a range
+    starts, before = [], 0
+    for b in bounds:
+        starts.append((b["_lo"], b["_hi"], before))
+        before += b["_n"]
+    if not starts:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    kind = df.schema[order].dataType.simpleString()
+    spans = df.sparkSession.createDataFrame(starts, f"_lo {kind}, _hi {kind}, _before bigint")
+    placed = df.join(F.broadcast(spans), (F.col(order) >= F.col("_lo")) & (F.col(order) <= F.col("_hi")))
+    return placed.withColumn(name, F.row_number().over(Window.partitionBy("_before").orderBy(order)) + F.col("_before")).drop("_lo", "_hi", "_before")

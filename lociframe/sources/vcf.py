@@ -143,9 +143,11 @@ def with_order(lines: DataFrame) -> DataFrame:
     split = F.shiftleft(F.floor(F.col("_metadata.file_block_start") / SPLIT_BYTES), ROW_BITS)
     if len(files) < 2:
         return lines.withColumn("_vid", split + row)
-    numbered = spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _n bigint")
-    named = lines.select("*", F.col("_metadata.file_path").alias("_file"), (split + row).alias("_at"))
-    return named.join(F.broadcast(numbered), "_file").select(*lines.columns, (F.shiftleft("_n", ROW_BITS + SPLIT_BITS) + F.col("_at")).alias("_vid"))
+    # The two name local files with one slash or with three.
+    numbered = spark.createDataFrame([(re.sub("^([^/:]+):/+", r"\1:/", f), i) for i, f in enumerate(files)], "_file string, _n bigint")
+    named = lines.select("*", F.regexp_replace("_metadata.file_path", "^([^/:]+):/+", "$1:/").alias("_file"), (split + row).alias("_at"))
+    n = F.coalesce("_n", F.raise_error(F.concat(F.lit("not among the files listed: "), "_file")).cast("bigint"))
+    return named.join(F.broadcast(numbered), "_file", "left").select(*lines.columns, (F.shiftleft(n, ROW_BITS + SPLIT_BITS) + F.col("_at")).alias("_vid"))
 
 
 def read_vcf(spark: SparkSession, path: str, header: VcfHeader | None = None, tags: list[str] | None = None) -> DataFrame:
