@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import motifs
 from ..operators import relational as rl
 from ..scratch import shared_folder
 from ..sources import tables as tb
@@ -245,3 +246,75 @@ def udf1_udf2_udf3_snk4_prj3_prj5_modules(spark, d):
     df, header = annotate(spark, path, '{"module": "doubling"}')
     write_tsv(to_tsv(df, header, "CHROM,POS,UP,TWICE"), f"{to}/tsv")
     return tb.read_tsv(spark, f"{to}/tsv").select(F.col("chrom").alias("CHROM"), F.col("pos").alias("POS"), "UP", "TWICE")
+
+
+@query("""with v as (select p_partkey k, case when p_partkey % 25 < 22 then 'chr' || (p_partkey % 25 + 1) when p_partkey % 25 = 22 then 'chrX' when p_partkey % 25 = 23 then 'chrY' else 'chrM' end chrom, p_size % 3 a, p_partkey % 3 b, p_size from part)
+select chrom as "CHROM", cast(k + 1 as varchar) as "POS", s as "SAMPLE", case when s = 'two' then b || '|' || a when p_size % 4 = 0 then './' || a else a || '/' || b end as "GT",
+ case when s = 'two' then ['A', 'C', 'GT'][b + 1] || '|' || ['A', 'C', 'GT'][a + 1] when p_size % 4 = 0 then './' || ['A', 'C', 'GT'][a + 1] else ['A', 'C', 'GT'][a + 1] || '/' || ['A', 'C', 'GT'][b + 1] end as "TGT",
+ case when s = 'two' then '.' else cast(p_size as varchar) end as "DP" from v, (select unnest(['one', 'two']) s) x""")
+def prj7_prj9_prj10_exp1_map8_snk4_samples(spark, d):
+    """Two of three samples' genotypes and depths as flat rows, contigs in the other style."""
+    to = shared_folder(spark, "samples")
+    names = F.array(*[F.lit(x) for x in [*map(str, range(1, 23)), "X", "Y", "MT"]])
+    a, b, k = F.col("p_size") % 3, F.col("p_partkey") % 3, F.col("p_partkey")
+    one = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("./"), a)).otherwise(F.concat_ws("/", a, b))
+    line = F.concat_ws("\t", F.get(names, (k % 25).cast("int")), k + 1, F.lit(".\tA\tC,GT\t.\t.\t.\tGT:DP"), F.concat(one, F.lit(":"), "p_size"), F.lit("0/0:1"), F.concat(b, F.lit("|"), a))
+    head = ["##fileformat=VCFv4.2", vcf.Tag("GT").line("FORMAT"), vcf.Tag("DP", "1", "Integer").line("FORMAT"), "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tone\tleft\ttwo"]
+    path = _lines(table(spark, d, "part").select("p_partkey", line.alias("value")), f"{to}/vcf", head, "p_partkey")
+    header = vcf.read_header(spark, path)
+    df, header = vcf.subset_samples(vcf.read_vcf(spark, path, header), header, ["one", "two"])
+    df, header = vcf.rename_contigs(df, header, vcf.contig_style("ucsc"))
+    return to_tsv(df, header, "CHROM,POS,SAMPLE,GT,TGT,FMT/DP")
+
+
+@query("""with l as (select 'c' || (p_partkey % 3) chrom, p_partkey pos, p_size from part where p_partkey % 2 = 0), r as (select 'c' || (p_partkey % 3) chrom, p_partkey pos, p_size from part where p_partkey % 3 = 0)
+select coalesce(l.chrom, r.chrom) as chrom, cast(coalesce(l.pos, r.pos) - 1 as integer) as start, l.p_size as first, r.p_size as second, 'B,A' as tags from l full join r on l.chrom = r.chrom and l.pos = r.pos
+where coalesce(l.chrom, r.chrom) = 'c0' and coalesce(l.pos, r.pos) between 31 and 600 or coalesce(l.chrom, r.chrom) = 'c2' and coalesce(l.pos, r.pos) >= 150""")
+def jn9_src5_src26_flt12_prj11_paired_files(spark, d):
+    """Two files restricted to regions and paired by site, with one header."""
+    p, to = table(spark, d, "part"), shared_folder(spark, "paired")
+    sides, headers = [], []
+    for n, name, tag in ((2, "first", "B"), (3, "second", "A")):
+        v = p.where(F.col("p_partkey") % n == 0).select(F.col("p_partkey").cast("bigint").alias("_vid"), F.concat(F.lit("c"), F.col("p_partkey") % 3).alias("chrom"), (F.col("p_partkey") - 1).cast("int").alias("start"), F.lit("A").alias("ref"), F.array(F.lit("C")).alias("alts"), "p_size")
+        path = _variants(v, f"{to}/{name}", [vcf.Tag(tag, "1", "Integer")], {tag: F.col("p_size").cast("int")})
+        headers.append(vcf.read_header(spark, path))
+        sides.append(vcf.restricted(vcf.read_vcf(spark, path, headers[-1]), ["c0:31-600", "c2:150"]).select("chrom", "start", F.col("info")[tag].alias(name)))
+    tags = ",".join(headers[0].merged(headers[1]).info)
+    return rl.full_outer_sites(*sides, ["chrom", "start"]).withColumn("tags", F.lit(tags))
+
+
+@query(f"""with t as ({GENES}) select p_partkey, 'm' || m as motif, i - 1 as at from t, (select unnest([1, 2]) m) ms, (select unnest(range(1, 97)) i) x
+where case m when 1 then i <= 93 and regexp_matches(substr(seq, i, 4), '^[AG][CT].G$') else i <= 91 and (substr(seq, i, 1) = 'A')::int + (substr(seq, i + 1, 1) = 'C')::int + (substr(seq, i + 2, 1) = 'G')::int + (substr(seq, i + 3, 1) in ('A', 'C'))::int + (substr(seq, i + 4, 1) = 'A')::int + (substr(seq, i + 5, 1) = 'A')::int >= 6 end""")
+def seq15_seq17_motif_scan(spark, d):
+    """Where motifs in ambiguity codes stand in each gene's sequence."""
+    return motifs.motif_matches(_genes(spark, d).select("p_partkey", "seq"), "seq", {"m1": "RYNG", "m2": "ACGMAA"})
+
+
+_FIRST = "case substr({0}, i, 1) when 'A' then 1 else 0 end + case substr({0}, i + 1, 1) when 'C' then 2 else 0 end + case substr({0}, i + 2, 1) when 'G' then 3 when 'T' then -1 else 0 end"
+_SECOND = "case substr({0}, i, 1) when 'C' then 4 when 'T' then 2 else 0 end + case substr({0}, i + 1, 1) when 'A' then 3 when 'G' then 1 else 0 end"
+_BEST = "list_max(list_transform(range(1, {1}), lambda i: {0}))"
+
+
+@query(f"""with t as ({GENES}), s as (select p_partkey, seq[1:24] a, seq[1:11] || translate(seq[12:12], 'ACGT', 'TGCA') || seq[13:24] b from t),
+c as (select p_partkey, {_BEST.format(_FIRST.format('b'), 23)} - {_BEST.format(_FIRST.format('a'), 23)} x, {_BEST.format(_SECOND.format('b'), 24)} - {_BEST.format(_SECOND.format('a'), 24)} y from s)
+select p_partkey, case when abs(x) >= abs(y) then 'first' else 'second' end as matrix, cast(case when abs(x) >= abs(y) then x else y end as double) as change from c""")
+def jn15_agg10_src21_seq16_matrix_changes(spark, d):
+    """The weight matrix of a file whose best score a changed base alters most."""
+    to = shared_folder(spark, "matrices")
+    path = _lines(spark.createDataFrame([(1, ">second\n0 4 0 2\n3 0 1 0\n>first x\n1 0 0 0\n0 2 0 0\n0 0 3 -1")], "o int, value string"), f"{to}/pwm", [], "o")
+    s = _genes(spark, d).selectExpr("p_partkey", "substr(seq, 1, 24) a", "substr(seq, 1, 11) || translate(substr(seq, 12, 1), 'ACGT', 'TGCA') || substr(seq, 13, 12) b")
+    return motifs.matrix_changes(s, "a", "b", tb.read_matrices(spark, path)).drop("a", "b")
+
+
+@query("""with s as (select c, string_agg(translate(md5('f' || c || '.' || i), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' order by i) seq from (select unnest(range(5)) c) cs, (select unnest(range(4000)) i) x group by c),
+v as (select distinct o_orderkey % 5 c, o_orderkey * 7919 % 128000 g from orders)
+select 's' || c as "CHROM", cast(g + 1 as varchar) as "POS", case when g < 10 or g + 11 > 128000 then '.' else substr(seq, g - 9, 10) || '.' || substr(seq, g + 2, 10) end as "FLKSEQ" from v join s using (c)""")
+def jn6_seq11_src16_flanking_bases(spark, d):
+    """Ten bases on either side of each variant, from stretches of contigs of 128,000 bases."""
+    to = shared_folder(spark, "contigs")
+    contigs = spark.range(5).selectExpr("id", "'>s' || id || '\\n' || array_join(transform(sequence(0, 3999), i -> translate(md5('f' || id || '.' || i), '0123456789abcdef', 'ACGTACGTACGTACGT')), '\\n') as value")
+    fasta = _lines(contigs, f"{to}/fa", [], "id")
+    v = table(spark, d, "orders").select(F.concat(F.lit("s"), F.col("o_orderkey") % 5).alias("chrom"), (F.col("o_orderkey") * 7919 % 128000).cast("int").alias("start")).distinct()
+    v = _variants(v.select(F.xxhash64("chrom", "start").alias("_vid"), "chrom", "start", F.lit("N").alias("ref"), F.array(F.lit("C")).alias("alts")), f"{to}/vcf")
+    df, header = annotate(spark, v, f'{{"ref": "{fasta}"}}', flank=True)
+    return to_tsv(df, header, "CHROM,POS,FLKSEQ")

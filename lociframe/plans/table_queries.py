@@ -287,13 +287,13 @@ def agg14_genotype_counts_hwe(spark, d):
 
 
 @query("select label, arg_max(vec_id, (abs(embedding[1]), -vec_id)) as vec_id from embeddings group by 1")
-def agg10_agg11_best_scoring(spark, d):
+def agg11_best_scoring(spark, d):
     return rl.top_by(table(spark, d, "embeddings"), "label", "vec_id", F.abs(F.col("embedding")[0]), "vec_id")
 
 
 @query("""select l_orderkey, l_linenumber, l_partkey, row_number() over w as n, count(*) over (partition by l_orderkey) - row_number() over w + 1 as minus_n,
 cast(coalesce(sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)""")
-def win4_win5_exp5_exon_numbers_offsets(spark, d):
+def win4_win5_exon_numbers_offsets(spark, d):
     li = table(spark, d, "lineitem").withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).withColumn("q", F.col("l_quantity").cast("bigint"))
     n = lambda minus: rl.numbered_blocks(li, "l_orderkey", "o", F.lit(minus)).cast("bigint")
     return li.select("l_orderkey", "l_linenumber", "l_partkey", n(False).alias("n"), n(True).alias("minus_n"), rl.cumulative_offset("l_orderkey", "o", "q").alias("offset"))
@@ -318,14 +318,14 @@ def lim1_top_rows(spark, d):
 
 
 @query("select coalesce(c.k, s.k) as nationkey, c.n as customers, s.n as suppliers from (select c_nationkey k, count(*) n from customer where c_nationkey < 20 group by 1) c full join (select s_nationkey k, count(*) n from supplier where s_nationkey > 4 group by 1) s on c.k = s.k")
-def jn9_src26_full_outer_sites(spark, d):
+def jn9_full_outer_sites(spark, d):
     c = table(spark, d, "customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("customers"))
     s = table(spark, d, "supplier").where("s_nationkey > 4").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count("*").alias("suppliers"))
     return rl.full_outer_sites(c, s, ["nationkey"])
 
 
 @query("select c_custkey, coalesce(n.n_name, 'other') as nation from customer left join (select * from nation where n_nationkey % 2 = 0) n on n_nationkey = c_nationkey")
-def jn7_prj8_prj9_dictionary_rename(spark, d):
+def jn7_dictionary_rename(spark, d):
     n = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("k"), "n_name")
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"))
     out = rl.renamed_values(c, "nation", n, "k", "n_name")
@@ -339,7 +339,7 @@ def jn8_src23_whitelist(spark, d):
 
 
 @query("select doc_id, concat(substr(text, 21, 10), '.', substr(text, 34, 10)) as flank from documents where length(text) >= 43 union all select doc_id, null from documents where length(text) < 43")
-def jn6_src15_seq11_flanks(spark, d):
+def seq11_flanks(spark, d):
     return table(spark, d, "documents").select("doc_id", sq.flanks(F.col("text"), F.lit(30), F.lit(3)).alias("flank"))
 
 
@@ -427,18 +427,11 @@ def exp2_exp3_exp4_prj6_explode_alleles(spark, d):
 
 
 @query("select vec_id, unnest(range(len(embedding))) as sample, unnest(embedding) as value from embeddings")
-def exp1_prj7_explode_samples(spark, d):
+def exp1_explode_samples(spark, d):
     e = rl.exploded(table(spark, d, "embeddings"), F.col("embedding"), "sample", "value")
     return e.select("vec_id", F.col("sample").cast("bigint").alias("sample"), "value")
 
 
-@query("select o_orderkey, o_orderstatus || chr(9) || coalesce(cast(case when o_custkey % 2 = 0 then o_custkey end as varchar), '.') || chr(9) || o_orderpriority as line from orders")
-def snk4_prj3_prj5_tsv_lines(spark, d):
-    o = table(spark, d, "orders")
-    cells = [F.col("o_orderstatus"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey").cast("string")), F.col("o_orderpriority")]
-    return o.select("o_orderkey", F.concat_ws("\t", *[F.coalesce(x, F.lit(".")) for x in cells]).alias("line"))
-
-
 @query("select event_id, cast(props->>'$.k' as varchar) as k from events")
 def jsn1_json_path(spark, d):
     return table(spark, d, "events").select("event_id", tx.json_path(F.col("props"), "$.k").alias("k"))
@@ -454,23 +447,18 @@ def str1_str2_str3_str4_flt8_values(spark, d):
 
 
 @query("select url_decode(url_encode(url)) as url, base64(encode(url)) as encoded, md5(url) as digest from pages")
-def str7_seq18_decode_digest(spark, d):
+def str7_decode_digest(spark, d):
     return table(spark, d, "pages").select(F.url_decode(F.url_encode("url")).alias("url"), F.base64("url").alias("encoded"), F.md5("url").alias("digest"))
 
 
 @query("select c_custkey from customer where c_mktsegment is not null and c_nationkey & 5 = 0 and c_acctbal > 0 and list_contains([c_mktsegment], 'BUILDING') is not null")
-def flt6_flt10_flt13_predicates(spark, d):
+def flt6_flt10_predicates(spark, d):
     c = table(spark, d, "customer")
     return c.where(F.col("c_mktsegment").isNotNull() & rl.minus_one_mask(F.col("c_nationkey"), 5) & (F.col("c_acctbal") > 0)).select("c_custkey")
 
 
-@query("select p_partkey from part where p_partkey * 7 < 900 and p_partkey * 7 + p_size > 200")
-def flt12_src5_region_restriction(spark, d):
-    return _regions(spark, d).where((F.col("start") < 900) & (F.col("end") > 200)).select("p_partkey")
-
-
 @query("select o_orderkey, cast(o_totalprice as double) as total from orders where o_orderstatus = 'F' union all select l_orderkey, cast(l_extendedprice as double) from lineitem where l_linestatus = 'F'")
-def prj11_set8_union_by_name(spark, d):
+def set8_union_by_name(spark, d):
     a = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_totalprice").alias("total"))
     b = table(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("total"))
     return a.unionByName(b, allowMissingColumns=True)

@@ -77,7 +77,7 @@ def transcript_version(name, title):
 
 def chunked(sequences: DataFrame, size: int = 1 << 16, overlap: int = 2048) -> DataFrame:
     """name, chunk, offset, seq: stretches that overlap, so that a short lookup needs one of them."""
-    n = F.sequence(F.lit(0), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / size))
+    n = F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / size))
     return sequences.select("name", "seq", F.explode(n).alias("chunk")).select("name", "chunk", (F.col("chunk") * size).alias("offset"), F.substr("seq", F.col("chunk") * size + 1, F.lit(size + overlap)).alias("seq"))
 
 

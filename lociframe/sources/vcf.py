@@ -168,7 +168,7 @@ def read_vcf(spark: SparkSession, path: str, header: VcfHeader | None = None, ta
     declared = F.array(*[F.lit(t) for t in h.info]) if h.info else F.array().cast("array<string>")
     alts = F.when(c(4).isNull(), F.array().cast("array<string>")).otherwise(F.split(c(4), ","))
     keys = F.split(c(8), ":")
-    out = df.select("_vid", c(0).alias("chrom"), (c(1).cast("int") - 1).alias("start"), F.coalesce(F.try_element_at("kv", F.lit("END")).try_cast("int"), c(1).cast("int") - 1 + F.length(c(3))).alias("end"), c(1).cast("int").alias("pos"), c(2).alias("id"), c(3).alias("ref"), alts.alias("alts"), c(5).try_cast("float").alias("qual"), F.when(c(6).isNull(), F.array().cast("array<string>")).otherwise(F.split(c(6), ";")).alias("filters"), info.alias("info"), F.map_filter("kv", lambda k, v: ~F.array_contains(declared, k)).alias("extra_info"), "c", keys.alias("keys"))
+    out = df.select("_vid", c(0).alias("chrom"), (c(1).try_cast("int") - 1).alias("start"), F.coalesce(F.try_element_at("kv", F.lit("END")).try_cast("int"), c(1).try_cast("int") - 1 + F.length(c(3))).alias("end"), c(1).try_cast("int").alias("pos"), c(2).alias("id"), c(3).alias("ref"), alts.alias("alts"), c(5).try_cast("float").alias("qual"), F.when(c(6).isNull(), F.array().cast("array<string>")).otherwise(F.split(c(6), ";")).alias("filters"), info.alias("info"), F.map_filter("kv", lambda k, v: ~F.array_contains(declared, k)).alias("extra_info"), "c", keys.alias("keys"))
     names = F.array(*[F.lit(s) for s in h.samples]) if h.samples else F.array().cast("array<string>")
 
     def sample(name: Column, i: Column) -> Column:
@@ -252,3 +252,27 @@ def contig_style(style: str) -> dict[str, str]:
     """From bare numbers to chr names ('ucsc') or back ('ncbi'), made by rule: 1 to 22, X, Y and the mitochondrion."""
     pairs = {str(x): f"chr{x}" for x in [*range(1, 23), "X", "Y"]} | {"MT": "chrM"}
     return pairs if style == "ucsc" else {v: k for k, v in pairs.items()}
+
+
+def region(text: str) -> tuple[str, int, int | None]:
+    """'c1', 'c1:120', 'c1:1,000-2,000' (1-based, both ends in) as (contig, start, end), 0-based half-open; without an end: None."""
+    m = re.fullmatch(r"(.+?)(?::([\d,]+)(-([\d,]*))?)?", text.strip())
+    if not m or not m[1]:
+        raise ValueError(f"not a region: {text}")
+    number = lambda x: int(x.replace(",", "")) if x else None
+    beg, end = number(m[2]), number(m[4])
+    if beg is None:
+        return m[1], 0, None
+    if m[3] is None:
+        return m[1], beg - 1, None
+    if end is not None and end < beg:
+        raise ValueError(f"not a region: {text}")
+    return m[1], beg - 1, end
+
+
+def restricted(df: DataFrame, regions: list[str], start: str = "start", end: str = "end", chrom: str = "chrom") -> DataFrame:
+    """Rows that overlap one of the regions, by comparisons with constants, which partitioned and sorted Parquet tables push down to the scan."""
+    keep = F.lit(False)
+    for c, s, e in map(region, regions):
+        keep |= (F.col(chrom) == c) & (F.col(end) > s) & (F.lit(True) if e is None else F.col(start) < e)
+    return df.where(keep)
