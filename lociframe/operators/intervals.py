@@ -91,26 +91,48 @@ def relation_join(targets: DataFrame, regions: DataFrame, mode: str = "ex", long
     return joined.where({"ex": inside, "in": around, "ov": F.lit(True)}[mode])
 
 
-def merge_intervals(df: DataFrame, *, on: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
-    """Union of intervals by key; touching ones become one."""
-    order = Window.partitionBy(on).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    grouped = df.where(F.col(start) <= F.col(end)).withColumn("_new", (reach.isNull() | (F.col(start) > reach)).cast("int"))
-    grouped = grouped.withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(on, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
+#: Coordinates of a stretch that one task sweeps; what goes on from stretch to stretch are a few numbers each.
+STRETCH = 1 << 20
 
 
-def sweep(sets: list[DataFrame], keep, *, on: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
+def _carried(rows: DataFrame, on: str, sums: list[Column], carried: dict[str, Column]) -> DataFrame:
+    """rows with what the stretches before, or the one after, hand on: sums by (contig, _b), then windows over these few rows."""
+    bins = rows.groupBy(F.col(on).alias("_on"), F.col("_b").alias("_at")).agg(*sums).select("_on", "_at", *[v.alias(k) for k, v in carried.items()])
+    return rows.join(bins, F.col(on).eqNullSafe(F.col("_on")) & (F.col("_b") == F.col("_at")), "left").drop("_on", "_at")
+
+
+def _across(before: bool = True):
+    """The window over a contig's stretches in order: what lies before each, or just their order."""
+    order = Window.partitionBy("_on").orderBy("_at")
+    return order.rowsBetween(Window.unboundedPreceding, -1) if before else order
+
+
+def merge_intervals(df: DataFrame, *, on: str = "chrom", start: str = "start", end: str = "end", stretch: int = STRETCH) -> DataFrame:
+    """Union of intervals by key; touching ones become one. Contigs are swept in stretches, which are then stitched."""
+    rows = df.where(F.col(start) <= F.col(end)).select(on, start, end, F.floor(F.col(start) / stretch).alias("_b"))
+    rows = _carried(rows, on, [F.max(end).alias("_m")], {"_reach": F.max("_m").over(_across())})
+    order = Window.partitionBy(on, "_b").orderBy(start, end)
+    reach = F.greatest("_reach", F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_new", (reach.isNull() | (F.col(start) > reach)).cast("int")).withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Group 0 of a stretch goes on with the last group that began before it.
+    pieces = rows.groupBy(on, "_b", "_g").agg(F.min(start).alias("_s"), F.max(end).alias("_e"))
+    pieces = _carried(pieces, on, [F.max(F.when(F.col("_g") > 0, F.col("_s"))).alias("_m")], {"_from": F.max("_m").over(_across())})
+    return pieces.groupBy(on, F.when(F.col("_g") == 0, F.col("_from")).otherwise(F.col("_s")).alias(start)).agg(F.max("_e").alias(end))
+
+
+def sweep(sets: list[DataFrame], keep, *, on: str = "chrom", start: str = "start", end: str = "end", stretch: int = STRETCH) -> DataFrame:
     """Stretches where keep(covers) holds, covers being how many intervals of each set cover them, merged."""
-    edges = None
+    edges, n = None, range(len(sets))
     for i, df in enumerate(sets):
         for col, step in ((start, 1), (end, -1)):
-            part = df.where(F.col(start) < F.col(end)).select(F.col(on).alias(on), F.col(col).alias("_x"), *[F.lit(step if j == i else 0).alias(f"_d{j}") for j in range(len(sets))])
+            part = df.where(F.col(start) < F.col(end)).select(F.col(on).alias(on), F.col(col).alias("_x"), *[F.lit(step if j == i else 0).alias(f"_d{j}") for j in n])
             edges = part if edges is None else edges.unionByName(part)
-    edges = edges.groupBy(on, "_x").agg(*[F.sum(f"_d{j}").alias(f"_d{j}") for j in range(len(sets))])
-    order = Window.partitionBy(on).orderBy("_x")
-    edges = edges.select(on, F.col("_x").alias(start), F.lead("_x").over(order).alias(end), *[F.sum(f"_d{j}").over(order).alias(f"_c{j}") for j in range(len(sets))])
-    return merge_intervals(edges.where(F.col(end).isNotNull()).where(keep([F.col(f"_c{j}") for j in range(len(sets))])).select(on, start, end), on=on, start=start, end=end)
+    edges = edges.groupBy(on, "_x").agg(*[F.sum(f"_d{j}").alias(f"_d{j}") for j in n]).withColumn("_b", F.floor(F.col("_x") / stretch))
+    carried = {f"_c{j}": F.sum(f"_d{j}").over(_across()) for j in n} | {"_next": F.lead("_x").over(_across(False))}
+    edges = _carried(edges, on, [F.min("_x").alias("_x"), *[F.sum(f"_d{j}").alias(f"_d{j}") for j in n]], carried)
+    order = Window.partitionBy(on, "_b").orderBy("_x")
+    edges = edges.select(on, F.col("_x").alias(start), F.coalesce(F.lead("_x").over(order), "_next").alias(end), *[(F.coalesce(f"_c{j}", F.lit(0)) + F.sum(f"_d{j}").over(order)).alias(f"_c{j}") for j in n])
+    return merge_intervals(edges.where(F.col(end).isNotNull()).where(keep([F.col(f"_c{j}") for j in n])).select(on, start, end), on=on, start=start, end=end, stretch=stretch)
 
 
 def intersect_intervals(a: DataFrame, b: DataFrame, **names) -> DataFrame:

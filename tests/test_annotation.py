@@ -161,3 +161,34 @@ def test_alignment_and_motifs():
 
 def test_fisher():
     assert abs(fisher_two_sided(3, 1, 1, 3) - 0.485714) < 1e-6 and fisher_two_sided(0, 0, 0, 0) == 1.0
+
+
+def test_interval_sets_equal_brute_force_whatever_the_stretches(spark):
+    rng = random.Random(61)
+    make = lambda: [(rng.choice(["a", "b", None]), s := rng.randrange(200), s + rng.choice([1, 2, 9, 60])) for _ in range(40)]
+    a, b = make(), make()
+    frames = [spark.createDataFrame(x, "chrom string, start int, end int") for x in (a, b)]
+    cover = lambda rows: {(c, x) for c, s, e in rows for x in range(s, e)}
+
+    def runs(points):
+        out = []
+        for c, x in sorted(points, key=lambda p: (p[0] or "", p[1])):
+            if out and out[-1][0] == c and out[-1][2] == x:
+                out[-1][2] = x + 1
+            else:
+                out.append([c, x, x + 1])
+        return sorted(map(tuple, out), key=str)
+
+    pa, pb = cover(a), cover(b)
+    for stretch in (1, 16, 1 << 20):
+        for got, want in ((iv.merge_intervals(frames[0], stretch=stretch), pa), (iv.intersect_intervals(*frames, stretch=stretch), pa & pb), (iv.subtract_intervals(*frames, stretch=stretch), pa - pb), (iv.union_intervals(*frames, stretch=stretch), pa | pb)):
+            assert sorted(map(tuple, got.collect()), key=str) == runs(want)
+
+
+def test_nearest_on_one_key_takes_linear_time(spark):
+    from lociframe.operators.nearest import nearest
+
+    left = spark.range(100_000).selectExpr("'k' k", "id * 3 x")
+    right = spark.range(100_000).selectExpr("'k' k", "id * 3 + 1 s", "id * 3 + 2 e", "id")
+    out = nearest(left, right, on="k", left_at="x", right_start="s", right_end="e", payload=["id"], tolerance=5)
+    assert out.where("next_id * 3 = x and (x = 0 or prev_id * 3 + 3 = x)").count() == 100_000
