@@ -69,17 +69,30 @@ def range_join(points: DataFrame, regions: DataFrame, *, on: str = "chrom", pos:
 def overlap_join(left: DataFrame, right: DataFrame, *, on: str = "chrom", start: str = "start", end: str = "end", prefix: str = "r_", closed_start: bool = False, bin_width: int = BIN) -> DataFrame:
     """Pairs of intervals that overlap; the right side's columns get a prefix.
 
-    Each pair is kept in just one bin, that of the greater of the two starts, so no duplicates arise and no
-    distinct is needed. closed_start counts left.start == right.end as an overlap, as a scheme of 1-based closed starts does.
+    Long intervals go to coarser bins: each stands in the bins of its own level, FANOUT + 1 at most, and in two of each
+    coarser one; a pair meets at the coarser level of both. It is kept in just one bin, that of the greater of the two
+    starts, so no duplicates arise and no distinct is needed. closed_start counts left.start == right.end as an overlap,
+    as a scheme of 1-based closed starts does.
     """
     slack = 1 if closed_start else 0
     r = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
     rs, re_ = F.col(prefix + start), F.col(prefix + end)
-    lb = left.withColumn("_b", F.explode(_bins(F.col(start), F.greatest(F.col(start), F.col(end) - 1), bin_width)))
-    rb = r.withColumn("_rb", F.explode(_bins(rs, F.greatest(rs, re_ - 1 + slack), bin_width)))
-    meet = (lb[on] == rb[prefix + on]) & (lb._b == rb._rb) & (lb[start] < re_ + slack) & (rs < lb[end])
-    first = F.floor(F.greatest(lb[start], rs) / bin_width)
-    return lb.join(rb, meet & (lb._b == first)).drop("_b", "_rb")
+    levels = max(_levels(left, start, end, bin_width), _levels(right, start, end, bin_width))
+    widths = [bin_width * FANOUT**k for k in range(levels)]
+
+    def dealt(df: DataFrame, lo: Column, hi: Column, name: str) -> DataFrame:
+        own = _level(hi - lo + 1, bin_width, levels)
+        none = F.array().cast("array<struct<m:int,b:bigint>>")
+        named = lambda k: lambda b: F.struct(F.lit(k).alias("m"), b.alias("b"))
+        at = [F.when(own <= k, F.transform(_bins(lo, hi, w), named(k))).otherwise(none) for k, w in enumerate(widths)]
+        return df.withColumn(name + "l", own).withColumn(name, F.explode(F.flatten(F.array(*at))))
+
+    lb = dealt(left, F.col(start), F.greatest(F.col(start), F.col(end) - 1), "_b")
+    rb = dealt(r, rs, F.greatest(rs, re_ - 1 + slack), "_rb")
+    meet = (lb[on] == rb[prefix + on]) & (F.col("_b.m") == F.col("_rb.m")) & (F.col("_b.b") == F.col("_rb.b")) & (lb[start] < re_ + slack) & (rs < lb[end])
+    width = F.element_at(F.array(*map(F.lit, widths)), F.col("_b.m") + 1)
+    first = (F.col("_b.m") == F.greatest("_bl", "_rbl")) & (F.col("_b.b") == F.floor(F.greatest(lb[start], rs) / width))
+    return lb.join(rb, meet & first).drop("_b", "_bl", "_rb", "_rbl")
 
 
 def relation_join(targets: DataFrame, regions: DataFrame, mode: str = "ex", longest: int = 100, **columns) -> DataFrame:
