@@ -154,11 +154,15 @@ def read_vcf(spark: SparkSession, path: str, header: VcfHeader | None = None, ta
     """Variants: _vid, chrom, start, end, pos, id, ref, alts, qual, filters, info, extra_info, samples.
 
     info has a field for each declared tag (or each in `tags`); undeclared keys go to extra_info, '' for flags.
-    Columns that a query doesn't use are pruned; bgzip files are read as gzip.
+    Columns that a query doesn't use are pruned; bgzip files are read as gzip here, by blocks through sources.hts.
     """
     h = header or read_header(spark, path)
-    df = with_order(spark.read.text(path).where("not startswith(value, '#') and value <> ''"))
-    df = df.select("_vid", F.split("value", "\t").alias("c"))
+    return variants_of(with_order(spark.read.text(path).where("not startswith(value, '#') and value <> ''")), h, tags)
+
+
+def variants_of(lines: DataFrame, h: VcfHeader, tags: list[str] | None = None) -> DataFrame:
+    """The columns of read_vcf from its lines (_vid, value)."""
+    df = lines.select("_vid", F.split("value", "\t").alias("c"))
     c = lambda i: F.when(F.get("c", F.lit(i)) != ".", F.get("c", F.lit(i)))
     pairs = F.filter(F.split(c(7), ";"), lambda x: x != "")
     kv = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda x: F.substring_index(x, "=", 1))), lambda k: F.struct(k, F.get(F.transform(F.filter(pairs, lambda x: F.substring_index(x, "=", 1) == k), lambda x: F.when(x.contains("="), F.substr(x, F.length(k) + 2)).otherwise("")), F.lit(0)))))
