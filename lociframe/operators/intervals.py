@@ -185,3 +185,28 @@ def totals(df: DataFrame, *, on: str = "chrom", start: str = "start", end: str =
     m = merge_intervals(df, on=on, start=start, end=end)
     count = lambda d, p: d.agg(F.count("*").alias(f"{p}regions"), F.coalesce(F.sum(F.col(end) - F.col(start)), F.lit(0)).cast("bigint").alias(f"{p}bases"))
     return count(df, "").crossJoin(count(m, "merged_"))  # one row each
+
+
+def regions_near(targets: DataFrame, regions: DataFrame, gap: int, *, on: str = "chrom", start: str = "start", end: str = "end", bin_width: int = BIN) -> DataFrame:
+    """What of the regions lies on or near each target, merged.
+
+    Targets are merged first. Overlaps are clipped to the target. To its left, regions within `gap` are taken, clipped to
+    that window's start, where nothing overlaps the target or the first overlap starts more than `gap` after it; to its
+    right, clipped to the window's end, only where nothing overlaps.
+    """
+    names = dict(on=on, start=start, end=end)
+    t = merge_intervals(targets.where(F.col(start) < F.col(end)), **names).select(on, start, end)
+    r = regions.where(F.col(start) < F.col(end)).select(on, start, end)
+    rs, re_ = F.col(f"r_{start}"), F.col(f"r_{end}")
+    joined = lambda a: overlap_join(a, r, bin_width=bin_width, **names)
+    inside = joined(t).select(on, F.col(start).alias("_s"), F.col(end).alias("_e"), F.greatest(start, rs).alias(start), F.least(end, re_).alias(end))
+    first = inside.groupBy(F.col(on).alias("_on"), "_s", "_e").agg(F.min(start).alias("_first"))
+    t = t.join(first, (F.col(on) == F.col("_on")) & (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e")), "left")
+    none = F.col("_first").isNull()
+    left = t.where(none | (F.col("_first") - F.col(start) > gap)).select(on, F.greatest(F.col(start) - gap, F.lit(0)).alias("_lo"), F.col(start).alias("_hi"))
+    left = left.where("_lo < _hi").select(on, F.col("_lo").alias(start), F.col("_hi").alias(end))
+    right = t.where(none).select(on, F.col(end).alias(start), (F.col(end) + gap).alias(end))
+    found = inside.select(on, start, end)
+    found = found.unionByName(joined(left).select(on, F.greatest(start, rs).alias(start), re_.alias(end)))
+    found = found.unionByName(joined(right).select(on, rs.alias(start), F.least(end, re_).alias(end)))
+    return merge_intervals(found, **names)

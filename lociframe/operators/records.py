@@ -78,10 +78,11 @@ def with_genotypes(df: DataFrame, values: Column, mode: str = FILL) -> DataFrame
 
 
 def _subset(values: Column, number: str, keep: Column, n: Column) -> Column:
-    """The values of the alleles kept, n alleles having been there; lists of another length stay as they are."""
+    """The values of the alleles kept, n alleles having been there; lists of another length stay as they are. Without alternatives a list of these is null."""
     pick = lambda wanted: F.transform(wanted, lambda i: F.get(values, i.cast("int")))
     if number == "A":
-        return F.when(F.size(values) == n - 1, F.transform(F.filter(keep, lambda i: i > 0), lambda i: F.get(values, i - 1))).otherwise(values)
+        left = F.transform(F.filter(keep, lambda i: i > 0), lambda i: F.get(values, i - 1))
+        return F.when((F.size(values) == n - 1) & (F.size(left) == 0), None).when(F.size(values) == n - 1, left).otherwise(values)
     each = F.when(F.size(values) == n, pick(keep))
     if number == "R":
         return each.otherwise(values)

@@ -152,10 +152,11 @@ def read_sam(spark: SparkSession, path: str, least_quality: int = 0, mask: int =
 def alignments_of(lines: DataFrame, least_quality: int = 0, mask: int = 0x4 | 0x200 | 0x400) -> DataFrame:
     """Alignments by lines (_vid, value): _vid, name, flag, chrom, start, end, mapq, cigar, seq, qual, tags; unmapped, failed and duplicate reads left out."""
     c = lines.where("value <> '' and not startswith(value, '@')").select("_vid", F.split("value", "\t").alias("c"))
-    ops = F.transform(F.regexp_extract_all(F.col("c")[5], F.lit("([0-9]+[MIDNSHP=X])"), 1), lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.substr(x, F.lit(1), F.length(x) - 1).cast("int").alias("len")))
+    c_ = lambda i: F.get("c", F.lit(i))
+    ops = F.transform(F.regexp_extract_all(c_(5), F.lit("([0-9]+[MIDNSHP=X])"), 1), lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.substr(x, F.lit(1), F.length(x) - 1).cast("int").alias("len")))
     cell = F.slice("c", F.lit(12), F.greatest(F.size("c") - 11, F.lit(0)))
     tags = F.map_from_entries(F.transform(cell, lambda x: F.struct(F.substr(x, F.lit(1), F.lit(2)), F.substr(x, F.lit(4)))))
-    df = c.select("_vid", F.col("c")[0].alias("name"), F.col("c")[1].cast("int").alias("flag"), F.col("c")[2].alias("chrom"), (F.col("c")[3].cast("int") - 1).alias("start"), F.col("c")[4].cast("int").alias("mapq"), ops.alias("cigar"), F.col("c")[9].alias("seq"), F.get("c", F.lit(10)).alias("qual"), tags.alias("tags"))
+    df = c.select("_vid", c_(0).alias("name"), c_(1).try_cast("int").alias("flag"), c_(2).alias("chrom"), (c_(3).try_cast("int") - 1).alias("start"), c_(4).try_cast("int").alias("mapq"), ops.alias("cigar"), c_(9).alias("seq"), c_(10).alias("qual"), tags.alias("tags"))
     spans = lambda which: F.aggregate("cigar", F.lit(0), lambda n, o: n + F.when(o["op"].isin(*which), o["len"]).otherwise(0))
     df = df.withColumn("end", F.col("start") + spans("MDN=X")).withColumn("query_length", spans("MIS=X"))
     return df.where((F.col("flag").bitwiseAND(mask) == 0) & (F.col("mapq") >= least_quality))
