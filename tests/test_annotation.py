@@ -121,6 +121,11 @@ def test_coding_changes():
     assert say(9, "C", "CA")["hgvs"] == "T:c.5_6insA(p.Lys3*/p.K3*)" or "fs" in say(9, "C", "CA")["hgvs"]
     assert say(13, "AGAT", "A")["consequence"] == "conservative_inframe_deletion" and "p.D4del" in say(13, "AGAT", "A")["hgvs"]
     assert say(13, "A", "AGCC")["consequence"].endswith("inframe_insertion") and "ins" in say(13, "A", "AGCC")["hgvs"]
+    told = lambda s, r, a: (say(s, r, a)["consequence"], say(s, r, a)["hgvs"].split("/")[-1].rstrip(")"))
+    assert told(4, "GATG", "G") == ("start_loss", "p.M1del") and told(22, "TTAA", "T") == ("stop_loss", "p.*7P")
+    assert told(13, "A", "ATAA") == ("stop_gained", "p.D4*") and told(13, "A", "AGCCTAG") == ("frameshift_truncate", "p.D4delinsA*")
+    assert told(10, "TAAA", "TTAG") == ("stop_gained", "p.K3*") and told(19, "TCAT", "T") == ("conservative_inframe_deletion", "p.H6del")
+    assert told(22, "T", "TGCC") == ("conservative_inframe_insertion", "p.H6_*7insA") and told(5, "AT", "A")[0] == "start_loss"
     assert say(2, "G", "A")["hgvs"] == "T:c.-3G>A" and say(26, "C", "A")["hgvs"] == "T:c.*1C>A"
     assert say(4, "C", "<NON_REF>") is None and translate("ATGTGA", True) == "MW"
     rc = reverse_complement(seq)
