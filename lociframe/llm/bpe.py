@@ -4,7 +4,7 @@ The tree's root holds the lowest rank of all adjacent pairs, the leftmost of equ
 the pairs on either side, each in logarithmic time, until no pair can be merged. A word of n bytes so
 takes O(n log n) whatever its merges, also where a text has no white space at all.
 
-Chunks between white space are encoded once and remembered by the worker: normalisation and the split
+Chunks between white space, and the words in them, are encoded once and remembered by the worker: normalisation and the split
 pattern never reach over white space, so a text's tokens are those of its chunks.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import CACHES, column, strings, text_or_empty, tidied
 
 NONE = 1 << 60
-#: What one worker remembers: chunks (and as many of the generation before), and code points of a chunk that is remembered.
+#: What one worker remembers: chunks, and words (and as many of the generation before), and code points of one that is remembered.
 MOST_CHUNKS, LONGEST_CHUNK = 300_000, 64
 #: White space of the tokenizer's patterns; str.split() would also split at the separators 1C to 1F.
 SPACE = regex.compile(r"[\t-\r\x20\x85\xa0  -     　]+")
@@ -106,6 +106,8 @@ class Bpe:
         self.last = [self.vocab.get(s + self.end) for s in symbols]
         self.words: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
+        self.merged: dict[str, list[int]] = {}
+        self.merged_before: dict[str, list[int]] = {}
 
     @classmethod
     def of(cls, path: str) -> Bpe:
@@ -151,7 +153,22 @@ class Bpe:
     def plain(self, text: str) -> list[int]:
         # Lower case by character: str.lower() alone would give a final sigma its own form.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return [i for word in self.pattern.findall(text) for i in self.merge(word.encode())]
+        out: list[int] = []
+        for word in self.pattern.findall(text):
+            ids = self.merged.get(word)
+            out += self.word(word) if ids is None else ids
+        return out
+
+    def word(self, word: str) -> list[int]:
+        """The ids of a word that was not met lately: chunks are many, the words in them are fewer, in whatever case and punctuation."""
+        ids = self.merged_before.get(word)
+        if ids is None:
+            ids = self.merge(word.encode())
+        if len(word) <= LONGEST_CHUNK:
+            if len(self.merged) >= MOST_CHUNKS:
+                self.merged_before, self.merged = self.merged, {}
+            self.merged[word] = ids
+        return ids
 
     def entry(self, chunk: str) -> tuple[int, str, str]:
         ids = self.chunk(chunk)
