@@ -501,7 +501,7 @@ class Part(WriterCommitMessage):
 
 
 class HtsWriter(DataSourceWriter):
-    """One file for each task, under a hidden name until all have ended: lost tasks and second tries leave nothing behind."""
+    """One file for each task, under a hidden name until all have ended; what lost tasks leave stays hidden, and readers pass over it."""
 
     def __init__(self, options: dict):
         self.path, self.kind, self.head = options["path"], options["kind"], options["head"]
