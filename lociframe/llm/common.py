@@ -40,9 +40,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """What a session needs before operators run in it: the package at its executors, and Arrow batches of some megabytes."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -445,19 +445,30 @@ CACHES["chunks"] = ChunkIds._loaded.clear
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int = TEXT_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """The two columns of batches, some at a time: up to `most` bytes, or one batch if that has more."""
+    """The two columns of batches, some rows at a time: up to `most` bytes, or one row if that has more, however large the batches are."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for b in batches:
-        if held and size + b.nbytes > most:
-            yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
-            held, size = [], 0
-        held.append(b)
-        size += b.nbytes
+    for batch in batches:
+        for b in sliced(batch, most):
+            if held and size + b.nbytes > most:
+                yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
+                held, size = [], 0
+            held.append(b)
+            size += b.nbytes
     if held:
         yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
 
 
+def sliced(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of up to `most` bytes, or of one row that has more: Spark fills a batch by rows, 10,000 unless a session says otherwise."""
+    if batch.nbytes <= most or batch.num_rows < 2:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from sliced(batch.slice(0, half), most)
+    yield from sliced(batch.slice(half), most)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """A row for each piece of each document: its ids and END_ID, cut only where longer than capacity.
 
