@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, jaccard, linededup, packing, pii, quality, resample, substring, winnow
+from . import bpe, fim, html_text, jaccard, linededup, packing, phrases, pii, quality, resample, substring, winnow
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,7 +58,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.selectExpr("doc_id", "n_lines", "n_removed_lines", "sha2(coalesce(text, ''), 256) as kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_line_frequency, op3_jaccard_join, op4_best_fit_packing, op5_importance_resampling, op6_substring_dedup, op7_bpe, op8_html_layout, op9_personal_data, op10_line_dedup)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(documents(spark, sf_dir))
+    return made.selectExpr("doc_id", "n", "form", "prefix_chars", "middle_chars", "sha2(output, 256) as output_sha256", f"sha2({fim.restored()}, 256) as restored_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_line_frequency, op3_jaccard_join, op4_best_fit_packing, op5_importance_resampling, op6_substring_dedup, op7_bpe, op8_html_layout, op9_personal_data, op10_line_dedup, op12_collocations, op13_fill_in_middle)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -105,4 +114,27 @@ f as (select doc_id, i, i2, min((doc_id, i)) over (partition by l, l2) first fro
 gone as (select doc_id, list(distinct p) ps from (select doc_id, unnest([i, i2]) p from f where (doc_id, i) > first) group by 1)
 select d.doc_id, len(raw) n_lines, coalesce(len(ps), 0) n_removed_lines, sha256(case when ps is null then t else array_to_string(list_filter(raw, lambda x, i: not list_contains(ps, i)), chr(10)) end) kept_sha256
 from d left join gone using (doc_id)""",
+    "op13_fill_in_middle": r"""
+with d as (select doc_id, coalesce(text, '') t, length(coalesce(text, '')) n, sha256('1:' || doc_id) h from documents),
+b as (select *, list_transform([1, 9, 17, 25], lambda a: list_sum(list_transform(range(8), lambda i: (position(h[a + i] in '0123456789abcdef') - 1) * (16 ** (7 - i))::bigint))::bigint) x from d),
+c as (select *, least(x[1] % (n + 1), x[2] % (n + 1)) lo, greatest(x[1] % (n + 1), x[2] % (n + 1)) hi,
+  case when t = '' or regexp_matches(t, '<[PSM]>') or x[3] % 100 >= 90 then 'plain' when x[4] % 100 < 20 then 'spm' else 'psm' end form from b),
+o as (select *, t[:lo] p, t[lo + 1:hi] m, t[hi + 1:] s from c)
+select doc_id, n, form, case when form <> 'plain' then lo end prefix_chars, case when form <> 'plain' then hi - lo end middle_chars,
+  sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) output_sha256, sha256(t) restored_sha256 from o""",
+    "op12_collocations": r"""
+with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) piece from d)),
+g as (select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) phrase from p, (select unnest(range(1, 6)) m) where len(w) >= m),
+f as (select lang, m, phrase, count(*) f from g group by 1, 2, 3),
+n as (select lang, sum(f) n from f where m = 1 group by 1),
+c as (select lang, m, phrase, f a, string_split(phrase, ' ') w from f where m > 1 and f >= 100),
+k as (select *, unnest(range(1, m)) k from c),
+s as (select k.lang, k.phrase, k.a, n.n, k.k, x.f l, y.f r, cast((1000::hugeint * k.a * n.n) // (x.f::hugeint * y.f) as bigint) score from k join n using (lang)
+  join f x on x.lang = k.lang and x.phrase = array_to_string(k.w[1:k.k], ' ') join f y on y.lang = k.lang and y.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+o as (select distinct p.lang, p.phrase from (select lang, m, a, unnest(list_transform(range(1, m), lambda j: list_transform(range(1, m - j + 2), lambda i: array_to_string(w[i:i + j - 1], ' ')))) inner_phrases from c) q,
+  unnest(q.inner_phrases) u(x) join c p on p.lang = q.lang and p.phrase = u.x where 100 * q.a >= 100 * p.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) n, score
+from b anti join o using (lang, phrase) qualify rank <= 2000""",
 }
