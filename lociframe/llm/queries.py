@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fim, html_text, jaccard, linededup, packing, phrases, pii, quality, resample, substring, winnow
+from . import bpe, fim, html_text, jaccard, linededup, packing, phrases, pii, quality, resample, runindex, substring, winnow
 from .common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.selectExpr("doc_id", "n_lines", "n_removed_lines", "sha2(coalesce(text, ''), 256) as kept_sha256")
 
 
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.without_earlier_strings(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
@@ -67,7 +71,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.selectExpr("doc_id", "n", "form", "prefix_chars", "middle_chars", "sha2(output, 256) as output_sha256", f"sha2({fim.restored()}, 256) as restored_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_line_frequency, op3_jaccard_join, op4_best_fit_packing, op5_importance_resampling, op6_substring_dedup, op7_bpe, op8_html_layout, op9_personal_data, op10_line_dedup, op12_collocations, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_line_frequency, op3_jaccard_join, op4_best_fit_packing, op5_importance_resampling, op6_substring_dedup, op7_bpe, op8_html_layout, op9_personal_data, op10_line_dedup, op11_suffix_array, op12_collocations, op13_fill_in_middle)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -122,6 +126,16 @@ c as (select *, least(x[1] % (n + 1), x[2] % (n + 1)) lo, greatest(x[1] % (n + 1
 o as (select *, t[:lo] p, t[lo + 1:hi] m, t[hi + 1:] s from c)
 select doc_id, n, form, case when form <> 'plain' then lo end prefix_chars, case when form <> 'plain' then hi - lo end middle_chars,
   sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) output_sha256, sha256(t) restored_sha256 from o""",
+    "op11_suffix_array": r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x, strlen(coalesce(text, '')) n from documents),
+p as (select doc_id, n, p, substr(x, 2 * p + 1, 1198) x from (select *, unnest(range(0, n, 500)) p from d)),
+b as (select doc_id, n, p, unnest(range(1, least(500, n - p) + 1)) j, x from p),
+w as (select doc_id, p + j i, substr(x, 2 * j - 1, 2) b, case when p + j + 99 <= n then md5(substr(x, 2 * j - 1, 200)) end w from b),
+e as (select *, w is not null and (doc_id, i) > min((doc_id, i)) over (partition by w) again from w),
+c as (select *, coalesce(bool_or(again) over (partition by doc_id order by i rows between 99 preceding and current row), false) gone from e),
+s as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) head from c),
+g as (select doc_id, count(*) filter (gone) n_removed, count(*) filter (head) n_spans, string_agg(b, '' order by i) filter (not gone) kept from s group by 1)
+select doc_id, d.n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from d left join g using (doc_id)""",
     "op12_collocations": r"""
 with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
 p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) piece from d)),
