@@ -206,7 +206,7 @@ def earlier_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     def mark(table: pa.Table) -> pa.Table:
         # In the order of places: the index takes a smaller position for an earlier place.
         table = table.append_column("none", table.column("doc_id").is_null()).sort_by([(c, "ascending") for c in ("none", "doc_id", "key", "first")])
-        place = np.stack([table.column(c).fill_null(0).to_numpy().astype(np.int64) for c in ("none", "doc_id", "key", "first")])
+        place = np.stack([table.column(c).cast(pa.int64()).fill_null(0).to_numpy() for c in ("none", "doc_id", "key", "first")])
         table = table.take(pa.array(np.flatnonzero(np.r_[True, (place[:, 1:] != place[:, :-1]).any(axis=0)])))  # equal rows are one place
         of, start = repeated_windows(table.column("bytes").to_pylist(), length)
         head = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1)]) if len(of) else of
