@@ -1,17 +1,19 @@
 """Block-gzipped text, BCF and BAM as a Spark data source, in both directions.
 
-Block-gzipped text is read in ranges of compressed bytes, one task each: a range starts at its first whole block and
-ends with the line that crosses its end. BCF and BAM have no marks between records, so a file is one task, which streams
-it; folders of parts, as the writer makes them, are read in parallel. Binary records become the lines of the text
-formats, which the text readers parse. Files are opened through pyarrow's file systems, by path or URI.
+Block-gzipped files are read in ranges of compressed bytes, one task each. A range of text starts at its first whole block
+and ends with the line that crosses its end. BCF and BAM have no marks between records: a range looks for the first place
+in its blocks from which a chain of plausible records follows. Gzipped, plain and unzipped BCF files are one task. Binary
+records become the lines of the text formats, which the text readers parse. With an index beside a file (sources.regions)
+a filter on places is pushed down to the blocks that can hold it. Files are opened through pyarrow's file systems, by path or URI.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import deque
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..shipping import ship
-from .vcf import ROW_BITS, SPLIT_BITS, VcfHeader, sniff, vcf_lines
+from .vcf import ROW_BITS, VcfHeader, sniff, split_bits, vcf_lines
 
 NAME = "lociframe_hts"
 SPLIT = 64 << 20
@@ -32,13 +34,17 @@ INT_CODE = {1: "b", 2: "h", 3: "i"}
 FLOAT_MISSING, FLOAT_END = 0x7F800001, 0x7F800002
 
 
+def _file_system(path: str) -> pafs.FileSystem:
+    return pafs.FileSystem.from_uri(path)[0] if "://" in path else pafs.LocalFileSystem()
+
+
 def _files(path: str) -> tuple[pafs.FileSystem, list[tuple[str, int]]]:
     """The file system and the sorted (path, size) of a file or of a folder's parts; hidden files and marks are left out."""
     path = path.removeprefix("file:") if path.startswith("file:") else path
     fs, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
     info = fs.get_file_info(at)
     found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(at, allow_not_found=False))
-    keep = [f for f in found if f.is_file and not f.base_name.startswith(("_", "."))]
+    keep = [f for f in found if f.is_file and not f.base_name.startswith(("_", ".")) and not f.base_name.endswith((".csi", ".tbi", ".bai"))]
     return fs, sorted((f.path, f.size) for f in keep)
 
 
@@ -117,6 +123,106 @@ def block_lines(f, start: int, end: int, size: int) -> Iterator[bytes]:
         yield b"".join(pieces)
 
 
+class Walk:
+    """Bytes of a block-gzipped file from a virtual place (a block's place, bytes into its data) on."""
+
+    def __init__(self, f, size: int, at: int = 0, within: int = 0):
+        self.more, self.held, self.used = blocks(f, at, size), deque(), within
+
+    def tell(self) -> tuple[int, int] | None:
+        """The virtual place of the next byte; None at the end of the file."""
+        while not self.held or self.used >= len(self.held[0][1]):
+            if self.held:
+                self.used -= len(self.held.popleft()[1])
+            if not self.held:
+                got = next(self.more, None)
+                if got is None:
+                    return None
+                self.held.append(got)
+        return self.held[0][0], self.used
+
+    def take(self, n: int) -> bytes | None:
+        """The next n bytes; None at the end of the file."""
+        parts, have = [], 0
+        while have < n:
+            if self.tell() is None:
+                if have:
+                    raise ValueError("the file ends inside of a record")
+                return None
+            part = self.held[0][1][self.used : self.used + n - have]
+            self.used += len(part)
+            have += len(part)
+            parts.append(part)
+        return b"".join(parts)
+
+    def line(self) -> bytes | None:
+        """The next line without its end; None at the end of the file."""
+        parts = []
+        while self.tell() is not None:
+            data = self.held[0][1]
+            end = data.find(b"\n", self.used)
+            parts.append(data[self.used : end if end >= 0 else len(data)])
+            self.used = end + 1 if end >= 0 else len(data)
+            if end >= 0:
+                return b"".join(parts)
+        return b"".join(parts) if parts else None
+
+
+#: Records that have to follow each other plausibly before a place counts as the start of one, and bytes looked at first.
+CHAIN, LOOK = 8, 1 << 18
+
+
+def first_record(f, start: int, end: int, size: int, length: Callable[[bytes, int], int | None]) -> tuple[int, int] | None:
+    """The virtual place of the first record that starts in the blocks of [start, end).
+
+    length(data, i) is the length of the record that could start at i, 0 where more bytes are needed to tell, None where none can. A place
+    counts if CHAIN records follow each other from it on, or fewer up to the file's very end.
+    """
+    at = _first_block(f, start, end)
+    if at is None:
+        return None
+    data, begins, more = bytearray(), [], blocks(f, at, size)
+    whole = False
+
+    def extend(n: int) -> None:
+        nonlocal whole
+        while len(data) < n and not whole:
+            got = next(more, None)
+            if got is None:
+                whole = True
+                return
+            begins.append((len(data), got[0]))
+            data.extend(got[1])
+
+    def chained(i: int) -> bool:
+        for _ in range(CHAIN):
+            if i >= len(data):
+                extend(i + 1)
+                if i >= len(data):
+                    return i == len(data)
+            n = length(data, i)
+            while n == 0 and not whole:
+                extend(len(data) + LOOK)
+                n = length(data, i)
+            if not n:
+                return False
+            i += n
+        return True
+
+    i, k = 0, 0
+    while True:
+        extend(i + 1)
+        if i >= len(data):
+            return None
+        while k + 1 < len(begins) and begins[k + 1][0] <= i:
+            k += 1
+        if begins[k][1] >= end:
+            return None
+        if chained(i):
+            return begins[k][1], i - begins[k][0]
+        i += 1
+
+
 class Stream:
     """Bytes of a whole block-gzipped, gzipped or plain file in order, some at a time."""
 
@@ -346,19 +452,37 @@ def encode_record(line: str, h: VcfHeader, strings: dict[str, int], contigs: dic
     return struct.pack("<II", len(out), len(each)) + out + each
 
 
-def bcf_lines(s: Stream) -> Iterator[str]:
-    """Header lines, then records, of a BCF file."""
+def bcf_header(s: Stream | Walk) -> str:
     magic = s.take(9)
     if magic is None or magic[:4] != b"BCF\2":
         raise ValueError("not a BCF file of version 2")
-    text = s.take(int.from_bytes(magic[5:9], "little")).rstrip(b"\0").decode()
-    yield from text.rstrip("\n").split("\n")
+    return s.take(int.from_bytes(magic[5:9], "little")).rstrip(b"\0").decode().rstrip("\n")
+
+
+def bcf_records(s: Stream | Walk, text: str) -> Iterator[str]:
     strings, contigs = numbered_names(text)
     while (head := s.take(8)) is not None:
         a, b = struct.unpack("<II", head)
         yield decode_record(s.take(a), s.take(b) if b else b"", strings, contigs)
 
 
+def bcf_length(text: str) -> Callable[[bytes, int], int | None]:
+    """For first_record: what holds of any record under this header."""
+    contigs = set(numbered_names(text)[1])
+    samples = max(len(text.rsplit("\n", 1)[-1].split("\t")) - 9, 0)
+
+    def length(d: bytes, i: int) -> int | None:
+        if len(d) < i + 33:
+            return 0
+        a, b, contig, pos, span, _, counts, more = struct.unpack_from("<IIiiiIII", d, i)
+        n_alleles, n_info, n_samples, n_fmt = counts >> 16, counts & 0xFFFF, more & 0xFFFFFF, more >> 24
+        if a < 25 + 3 * n_info or a > 1 << 30 or b > 1 << 30 or contig not in contigs or pos < -1 or span < 0 or n_alleles < 1 or n_samples != samples or (b > 0) != (n_fmt > 0 and samples > 0) or d[i + 32] & 15 != 7:
+            return None
+        return 8 + a + b
+
+    return length
+
+
 # --- BAM
 
 
@@ -386,33 +510,57 @@ def _tags(data: bytes) -> Iterator[str]:
             at += struct.calcsize("<" + sizes[kind])
 
 
-def bam_lines(s: Stream) -> Iterator[str]:
-    """Header lines, then alignments, of a BAM file as SAM text."""
+def bam_header(s: Stream | Walk) -> tuple[list[str], list[str]]:
+    """(header lines, contigs)."""
     magic = s.take(8)
     if magic is None or magic[:4] != b"BAM\1":
         raise ValueError("not a BAM file")
     n = int.from_bytes(magic[4:8], "little")
     head = s.take(n).rstrip(b"\0").decode().rstrip("\n") if n else ""
-    yield from head.split("\n") if head else ()
     names = []
     for _ in range(int.from_bytes(s.take(4), "little")):
         names.append(s.take(int.from_bytes(s.take(4), "little")).rstrip(b"\0").decode())
         s.take(4)
-    contig = lambda i: "*" if i < 0 else names[i]
+    return head.split("\n") if head else [], names
+
+
+def bam_records(s: Stream | Walk, names: list[str]) -> Iterator[str]:
     while (size := s.take(4)) is not None:
-        d = s.take(int.from_bytes(size, "little"))
-        ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate, mate_pos, length = struct.unpack_from("<iiBBHHHIiii", d)
-        at = 32 + l_name
-        ops = struct.unpack_from(f"<{n_ops}I", d, at)
-        at += 4 * n_ops
-        raw = d[at : at + (l_seq + 1) // 2]
-        at += len(raw)
-        qual, tags = d[at : at + l_seq], d[at + l_seq :]
-        seq = "".join(BASES[x >> 4] + BASES[x & 15] for x in raw)[:l_seq] or "*"
-        shown = "*" if not l_seq or qual[0] == 255 else bytes(q + 33 for q in qual).decode()
-        other = "=" if mate >= 0 and mate == ref else contig(mate)
-        cells = [d[32 : at].split(b"\0", 1)[0].decode(), flag, contig(ref), pos + 1, mapq, "".join(f"{o >> 4}{OPS[o & 15]}" for o in ops) or "*", other, mate_pos + 1, length, seq, shown, *_tags(tags)]
-        yield "\t".join(map(str, cells))
+        yield bam_line(s.take(int.from_bytes(size, "little")), names)
+
+
+def bam_length(names: list[str]) -> Callable[[bytes, int], int | None]:
+    """For first_record: what holds of any record of a file with these contigs."""
+
+    def length(d: bytes, i: int) -> int | None:
+        if len(d) < i + 36:
+            return 0
+        size, ref, pos, l_name, _, _, n_ops, _, l_seq, mate, mate_pos, _ = struct.unpack_from("<IiiBBHHHIiii", d, i)
+        if not (-1 <= ref < len(names) and -1 <= mate < len(names) and pos >= -1 and mate_pos >= -1 and l_name) or 32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq > size or size > 1 << 30:
+            return None
+        name = d[i + 36 : i + 36 + l_name]
+        if len(name) < l_name:
+            return 0
+        return 4 + size if name[-1] == 0 and all(33 <= x <= 126 for x in name[:-1]) else None
+
+    return length
+
+
+def bam_line(d: bytes, names: list[str]) -> str:
+    """An alignment as SAM text."""
+    contig = lambda i: "*" if i < 0 else names[i]
+    ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate, mate_pos, length = struct.unpack_from("<iiBBHHHIiii", d)
+    at = 32 + l_name
+    ops = struct.unpack_from(f"<{n_ops}I", d, at)
+    at += 4 * n_ops
+    raw = d[at : at + (l_seq + 1) // 2]
+    at += len(raw)
+    qual, tags = d[at : at + l_seq], d[at + l_seq :]
+    seq = "".join(BASES[x >> 4] + BASES[x & 15] for x in raw)[:l_seq] or "*"
+    shown = "*" if not l_seq or qual[0] == 255 else bytes(q + 33 for q in qual).decode()
+    other = "=" if mate >= 0 and mate == ref else contig(mate)
+    cells = [d[32 : at].split(b"\0", 1)[0].decode(), flag, contig(ref), pos + 1, mapq, "".join(f"{o >> 4}{OPS[o & 15]}" for o in ops) or "*", other, mate_pos + 1, length, seq, shown, *_tags(tags)]
+    return "\t".join(map(str, cells))
 
 
 # --- the data source
@@ -420,23 +568,79 @@ def bam_lines(s: Stream) -> Iterator[str]:
 
 @dataclass
 class Range(InputPartition):
+    """Compressed bytes [start, end) of a file, or, with an index, the virtual places from one to before another."""
+
     file: str
     number: int
     split: int
     start: int
     end: int
     size: int
-    kind: str
+    chunks: list[tuple[tuple[int, int], tuple[int, int]]] | None = None
+    kind: str | None = None
 
 
 def kind_of(f, size: int) -> str:
-    """bgzf, bcf, bam, gzip or text, by a file's first bytes and, inside of gzip, by those of its content."""
+    """bgzf, bcf, bam, ubcf (not zipped), gzip or text, by a file's first bytes and, inside of gzip, by those of its content."""
     f.seek(0)
     head = f.read(18)
-    inner = sniff((Stream(f, size).take(4) if size > 28 else b"") or b"") if head[:2] == b"\x1f\x8b" else sniff(head)
-    if inner in ("bcf", "bam"):
-        return inner
-    return "bgzf" if block_size(head) else "gzip" if head[:2] == b"\x1f\x8b" else "text"
+    if head[:2] != b"\x1f\x8b":
+        return {"bcf": "ubcf", "bam": "bam"}.get(sniff(head), "text")
+    inner = sniff((Stream(f, size).take(4) if size > 28 else b"") or b"")
+    if not block_size(head):
+        return {"bcf": "ubcf", "bam": "ubam"}.get(inner, "gzip")
+    return inner if inner in ("bcf", "bam") else "bgzf"
+
+
+def range_lines(f, kind: str, start: int, end: int, size: int) -> Iterator[str]:
+    """The lines of a range of a file; a file that can't be cut belongs to the range at 0, which has header lines too."""
+    if kind == "bgzf":
+        yield from (x.decode() for x in block_lines(f, start, end, size))
+    elif kind in ("bcf", "bam"):
+        s = Walk(f, size)
+        head, lines, length = opened(s, kind)
+        begin = s.tell()  # of the records
+        if start == 0:
+            yield from head
+        if begin is None or begin[0] >= end:
+            return
+        at = begin if begin[0] >= start else first_record(f, start, end, size, length)
+        if at is None:
+            return
+        s = Walk(f, size, *at)
+        more = lines(s)
+        while (at := s.tell()) is not None and at[0] < end:
+            yield next(more)
+    elif start == 0:
+        s = Stream(f, size)
+        if kind in ("ubcf", "ubam"):
+            head, lines, _ = opened(s, kind[1:])
+            yield from head
+            yield from lines(s)
+        else:
+            yield from (x.decode() for x in s.lines())
+
+
+def opened(s: Stream | Walk, kind: str) -> tuple[list[str], Callable[[Stream | Walk], Iterator[str]], Callable[[bytes, int], int | None]]:
+    """(header lines, reader of records as lines, what first_record needs) of a BCF or BAM file whose header is read from s."""
+    if kind == "bcf":
+        text = bcf_header(s)
+        return text.split("\n"), lambda w: bcf_records(w, text), bcf_length(text)
+    head, names = bam_header(s)
+    return head, lambda w: bam_records(w, names), bam_length(names)
+
+
+def chunk_lines(f, kind: str, size: int, chunks: list[tuple[tuple[int, int], tuple[int, int]]]) -> Iterator[str]:
+    """The records that start at virtual places inside of chunks."""
+    if kind == "bgzf":
+        lines = lambda w: (x.decode() for x in iter(w.line, None))
+    else:
+        lines = opened(Walk(f, size), kind)[1]
+    for begin, end in chunks:
+        s = Walk(f, size, *begin)
+        more = lines(s)
+        while (at := s.tell()) is not None and at < end:
+            yield next(more)
 
 
 class HtsReader(DataSourceReader):
@@ -444,41 +648,41 @@ class HtsReader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("split", SPLIT))
 
     def partitions(self):
-        fs, files = _files(self.path)
-        if len(files) >= 1 << (63 - ROW_BITS - SPLIT_BITS):
-            raise ValueError("too many files to keep in order")
+        """Ranges of all files; the folder is listed once, and files are opened by the tasks alone."""
+        _, files = _files(self.path)
+        bits = split_bits(len(files))
         out = []
         for n, (name, size) in enumerate(files):
-            with fs.open_input_file(name) as f:
-                kind = kind_of(f, size)
-            step = max(self.split, -(-size // ((1 << SPLIT_BITS) - 1))) if kind == "bgzf" else max(size, 1)
-            out += [Range(self.path, n, i, at, min(at + step, size), size, kind) for i, at in enumerate(range(0, size, step))]
-        return out
-
-    def read(self, partition: Range):
-        fs, files = _files(self.path)
-        name, size = files[partition.number]
-        if size != partition.size:
-            raise ValueError(f"{name} has changed while it was read")
-        first = (partition.number << (ROW_BITS + SPLIT_BITS)) + (partition.split << ROW_BITS)
-        with fs.open_input_file(name) as f:
-            if partition.kind == "bgzf":
-                lines = (x.decode() for x in block_lines(f, partition.start, partition.end, size))
-            elif partition.kind == "bcf":
-                lines = bcf_lines(Stream(f, size))
-            elif partition.kind == "bam":
-                lines = bam_lines(Stream(f, size))
+            step = max(self.split, -(-size // ((1 << bits) - 1)))
+            out += [Range(name, n, i, at, min(at + step, size), size) for i, at in enumerate(range(0, size, step))]
+        return [replace(r, number=r.number << bits | r.split) for r in out]
+
+    def lines(self, partition: Range) -> Iterator[str]:
+        fs = _file_system(self.path)
+        if fs.get_file_info(partition.file).size != partition.size:
+            raise ValueError(f"{partition.file} has changed while it was read")
+        with fs.open_input_file(partition.file) as f:
+            kind = partition.kind or kind_of(f, partition.size)
+            if partition.chunks is not None:
+                yield from chunk_lines(f, kind, partition.size, partition.chunks)
             else:
-                lines = (x.decode() for x in Stream(f, size).lines())
-            batch, n, held = [], 0, 0
-            for x in lines:
-                batch.append(x)
-                held += len(x)
-                if len(batch) == 10_000 or held > 8 << 20:
-                    yield _batch(batch, first + n)
-                    n, batch, held = n + len(batch), [], 0
-            if batch:
-                yield _batch(batch, first + n)
+                yield from range_lines(f, kind, partition.start, partition.end, partition.size)
+
+    def read(self, partition: Range | None):
+        if partition is None:  # what Spark passes where there are no partitions
+            return
+        first, n, batch, held = partition.number << ROW_BITS, 0, [], 0
+        for x in self.lines(partition):
+            batch.append(x)
+            held += len(x)
+            if len(batch) == 10_000 or held > 8 << 20:
+                yield self.batch(batch, first + n)
+                n, batch, held = n + len(batch), [], 0
+        if batch:
+            yield self.batch(batch, first + n)
+
+    def batch(self, lines: list[str], first: int) -> pa.RecordBatch:
+        return _batch(lines, first)
 
 
 def _batch(lines: list[str], first: int) -> pa.RecordBatch:
@@ -595,7 +799,7 @@ def read_header_lines(path: str, mark: str = "#") -> list[str]:
         with fs.open_input_file(name) as f:
             kind = kind_of(f, size)
             s = Stream(f, size)
-            lines = bcf_lines(s) if kind == "bcf" else bam_lines(s) if kind == "bam" else (x.decode() for x in s.lines())
+            lines = iter(opened(s, kind.lstrip("u"))[0]) if kind.lstrip("u") in ("bcf", "bam") else (x.decode() for x in s.lines())
             out = []
             for x in lines:
                 if not x.startswith(mark):

@@ -6,6 +6,7 @@ in the file, which output order and merge-back rest on.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import OrderedDict
 from dataclasses import dataclass, field
@@ -129,25 +130,52 @@ def _typed(raw: Column, tag: Tag) -> Column:
     return F.transform(F.split(raw, ","), one) if kind.startswith("array") else one(raw)
 
 
-#: Bits of _vid for a row's place in its task and for its split in the file; splits are 4 MB or more, files fewer than 2 ** 16.
-ROW_BITS, SPLIT_BITS, SPLIT_BYTES = 33, 14, 1 << 22
+#: Bits of _vid for a row's place in its task, which monotonically_increasing_id has, and for its file and split together.
+ROW_BITS, PLACE_BITS = 33, 30
+#: Files whose order is kept; their names are broadcast, at most some 100 MB.
+MOST_FILES = 1 << 20
+
+
+def split_bits(files: int) -> int:
+    """What a file's splits are numbered with where there are so many files."""
+    if files > MOST_FILES:
+        raise ValueError("too many files to keep in order")
+    return PLACE_BITS - max(files - 1, 0).bit_length()
+
+
+def _bytes(size: str) -> int:
+    """Spark's sizes: '128m', '64k', '134217728b', '4194304'."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * (" kmgtp".index(unit or " "))
 
 
 def with_order(lines: DataFrame) -> DataFrame:
-    """_vid: rows in file order, by file name, then split, then place within it, however splits are dealt to tasks."""
+    """_vid: rows in file order, by file name, then split, then place within it, however splits are dealt to tasks.
+
+    Splits start at multiples of a size that is never under the lesser of maxPartitionBytes and openCostInBytes, so a start
+    divided by that numbers them, whatever their size. A split that is shorter all the same, as these settings were changed before
+    the plan ran, or a file of more splits than fit the number, is an error and never mixes records.
+    """
     spark = lines.sparkSession
     files = sorted(lines.inputFiles())
-    if len(files) >= 1 << (63 - ROW_BITS - SPLIT_BITS):
-        raise ValueError("too many files to keep in order")
+    bits = split_bits(len(files))
+    unit = max(1, min(_bytes(spark.conf.get(f"spark.sql.files.{x}")) for x in ("maxPartitionBytes", "openCostInBytes")))
     row = F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)
-    split = F.shiftleft(F.floor(F.col("_metadata.file_block_start") / SPLIT_BYTES), ROW_BITS)
+    start, size = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length")
+    short = (size < unit) & (start + size < F.col("_metadata.file_size"))
+    number = F.floor(start / unit)
+    refused = lambda why: F.raise_error(F.concat(F.lit(why + ": "), "_metadata.file_path")).cast("bigint")
+    split = F.when(short, refused("split settings were changed after the plan was made")).when(number >= 1 << bits, refused("too many splits of a file to keep in order")).otherwise(number)
+    at = F.shiftleft(split, ROW_BITS) + row
     if len(files) < 2:
-        return lines.withColumn("_vid", split + row)
-    # The two name local files with one slash or with three.
-    numbered = spark.createDataFrame([(re.sub("^([^/:]+):/+", r"\1:/", f), i) for i, f in enumerate(files)], "_file string, _n bigint")
-    named = lines.select("*", F.regexp_replace("_metadata.file_path", "^([^/:]+):/+", "$1:/").alias("_file"), (split + row).alias("_at"))
+        return lines.withColumn("_vid", at)
+    # The two name local files with one slash or with three; the folder that all share isn't sent.
+    names = [re.sub("^([^/:]+):/+", r"\1:/", f) for f in files]
+    shared = os.path.commonprefix(names)
+    numbered = spark.createDataFrame([(f[len(shared) :], i) for i, f in enumerate(names)], "_file string, _n bigint")
+    named = lines.select("*", F.expr("substr(regexp_replace(_metadata.file_path, '^([^/:]+):/+', '$1:/'), " + str(len(shared) + 1) + ")").alias("_file"), at.alias("_at"))
     n = F.coalesce("_n", F.raise_error(F.concat(F.lit("not among the files listed: "), "_file")).cast("bigint"))
-    return named.join(F.broadcast(numbered), "_file", "left").select(*lines.columns, (F.shiftleft(n, ROW_BITS + SPLIT_BITS) + F.col("_at")).alias("_vid"))
+    return named.join(F.broadcast(numbered), "_file", "left").select(*lines.columns, (F.shiftleft(n, ROW_BITS + bits) + F.col("_at")).alias("_vid"))
 
 
 def read_vcf(spark: SparkSession, path: str, header: VcfHeader | None = None, tags: list[str] | None = None) -> DataFrame:
