@@ -30,6 +30,9 @@ MOST_CHUNKS, LONGEST_CHUNK = 300_000, 64
 #: White space of the tokenizer's patterns; str.split() would also split at the separators 1C to 1F.
 SPACE = regex.compile(r"[\t-\r\x20\x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
+#: Latin letters and common punctuation, whose classes, lower case and composition are the same in Python's tables and in the
+#: tokenizer library's (a test compares them all). Chunks with any others are normalised and split by the library.
+COMMON = re.compile("[\0-\u024f\u2010-\u2027\u20ac]*")
 
 
 def byte_symbols() -> list[str]:
@@ -97,6 +100,11 @@ class Bpe:
         self.cut = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or "(?!)")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        from tokenizers import Tokenizer
+
+        bare = spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "pre_tokenizer": split}
+        rules = Tokenizer.from_str(json.dumps(bare))
+        self.normalised, self.pieces = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         for r, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -151,10 +159,12 @@ class Bpe:
         return out + self.plain(chunk[at:])
 
     def plain(self, text: str) -> list[int]:
-        # Lower case by character: str.lower() alone would give a final sigma its own form.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if COMMON.fullmatch(text):
+            words = self.pattern.findall(unicodedata.normalize("NFC", text).lower())
+        else:
+            words = [w for w, _ in self.pieces(self.normalised(text))]
         out: list[int] = []
-        for word in self.pattern.findall(text):
+        for word in words:
             ids = self.merged.get(word)
             out += self.word(word) if ids is None else ids
         return out
@@ -228,21 +238,27 @@ def encoded_digests(docs: DataFrame, tokenizer: str, text: str = "text") -> Data
 
 
 def encoded(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """docs with a column of token ids."""
+    """docs with a column of token ids; what it has by that name already is replaced. A null text is empty, a table without rows gives none.
+
+    Other columns, whatever their names, and equal rows stay as they are; a text that isn't a string is read as one.
+    """
     names = [c for c in docs.columns if c != into]
     schema = docs.select(*names).schema.add(into, ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.of(tokenizer)
         for b in batches:
-            ids = pa.array([bpe.encode(t) for t in strings(b, text)], pa.list_(pa.int32()))
+            ids = pa.array([bpe.encode("" if t is None else str(t)) for t in column(b, text)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, into])
 
     return docs.select(*names).mapInArrow(tidied(run, "bpe"), schema)
 
 
 def decoded(docs: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """docs with the text that their token ids decode to."""
+    """docs with the text that their token ids decode to; a null list is empty, and ids that the vocabulary lacks are left out.
+
+    What docs has by the new column's name is replaced; its other columns, and equal rows, stay as they are.
+    """
     names = [c for c in docs.columns if c != into]
     schema = docs.select(*names).schema.add(into, "string")
 
