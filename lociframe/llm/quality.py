@@ -16,11 +16,11 @@ SYMBOLS = "#*$%&|<>"
 
 #: A line is boilerplate of its host if more than MIN_DOCS different documents and more than HOST_SHARE of the host's have it.
 MIN_DOCS, HOST_SHARE = 20, 0.05
-#: quality_rules also removes lines that more than ENOUGH_DOCS different documents of a host have, however large
-#: it is, or more than FLOOR_DOCS of them and FLOOR_SHARE of the host's.
+#: The lower limits, either of which suffices, of op2 and quality_rules: lines that more than ENOUGH_DOCS different documents of a host have, however large
+#: it is, or more than FLOOR_DOCS of them and FLOOR_SHARE of the host's. (A line of FLOOR_DOCS documents tells nothing on a small host.)
 ENOUGH_DOCS, FLOOR_DOCS, FLOOR_SHARE = 5, 2, 0.005
-#: A document that keeps less than this share of its words without such lines is depleted.
-LEAST_LEFT = 0.5
+#: A document that keeps less than this share of its words without such lines is depleted, and in op2 one that keeps fewer words than the base rules ask for.
+LEAST_LEFT, LEAST_WORDS = 0.5, 50
 
 
 def normalised_line(line: str) -> str:
@@ -70,11 +70,12 @@ def profiles(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
     return rows.mapInArrow(tidied(run), _PROFILE)
 
 
-def verdicts(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, least_left: float = LEAST_LEFT, shared: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, least_left: float = LEAST_LEFT, shared: bool = False, either: bool = False, least_words: int = 0) -> DataFrame:
     """A row for each row of docs: doc_id, key, the statistics, base_failed, frequent (hashes of its lines above the limits), kept.
 
     With shared also n_shared_words and shared, the same for the lines above the limits or above the lower
-    ones, either of which suffices; kept is decided by the frequent lines alone.
+    ones, either of which suffices; kept is decided by the frequent lines alone. With either, frequent
+    lines are those above the lower limits. Documents that keep fewer than least_words are depleted as well.
 
     Lines are counted by host over different documents: equal texts count once, so that a page which is
     merely copied isn't taken for boilerplate (copies are for the near-duplicate stage). Counts are
@@ -84,11 +85,11 @@ def verdicts(docs: DataFrame, text: str = "text", host: str = "source", min_docs
     p = materialise(profiles(docs, text, host), "profiles")
     once = p.groupBy("host", "key").agg(F.first("lines").alias("lines"), F.count("*").alias("copies"))
     hosts = once.groupBy("host").agg(F.count("*").alias("host_docs"))
-    counts = once.select("host", "copies", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("docs"), F.sum("copies").alias("n")).where(F.col("docs") > (min(min_docs, ENOUGH_DOCS, FLOOR_DOCS) if shared else min_docs))
+    counts = once.select("host", "copies", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("docs"), F.sum("copies").alias("n")).where(F.col("docs") > (min(min_docs, ENOUGH_DOCS, FLOOR_DOCS) if shared or either else min_docs))
     above = (F.col("docs") > min_docs) & (F.col("docs") > F.col("host_docs") * host_share)
     low = (F.col("docs") > ENOUGH_DOCS) | ((F.col("docs") > FLOOR_DOCS) & (F.col("docs") > F.col("host_docs") * FLOOR_SHARE))
     # n: the rows of documents that a line is joined to, copies included, for which it is dealt to tasks.
-    frequent = counts.join(F.broadcast(hosts) if _few(hosts) else hosts, "host").where(above | low if shared else above).select("host", "h", "n", *([above.alias("above")] if shared else []))
+    frequent = counts.join(F.broadcast(hosts) if _few(hosts) else hosts, "host").where(above | low if shared or either else above).select("host", "h", "n", *([above.alias("above")] if shared else []))
     frequent = materialise(frequent, "frequent")
     lines = p.select("doc_id", "key", "host", F.explode("lines").alias("l")).select("doc_id", "key", "host", F.col("l.h").alias("h"), F.col("l.words").alias("words"))
     sums = [F.sum("words").alias("n_frequent_words"), F.collect_list("h").alias("frequent")]
@@ -99,7 +100,8 @@ def verdicts(docs: DataFrame, text: str = "text", host: str = "source", min_docs
     same = [base[c].eqNullSafe(removed[c]) for c in ("doc_id", "key", "host")]
     out = base.join(removed, same[0] & same[1] & same[2], "left").select(*[base[c] for c in base.columns], F.coalesce("n_frequent_words", F.lit(0).cast("bigint")).alias("n_frequent_words"), "frequent", *(["n_shared_words", "shared"] if shared else []))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    depleted = F.col("n_words") - F.col("n_frequent_words") < F.col("n_words") * F.lit(least_left)
+    left = F.col("n_words") - F.col("n_frequent_words")
+    depleted = (left < F.col("n_words") * F.lit(least_left)) | (left < least_words)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 

@@ -21,7 +21,7 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = quality.verdicts(documents(spark, sf_dir))
+    v = quality.verdicts(documents(spark, sf_dir), either=True, least_words=quality.LEAST_WORDS)
     return v.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words")
 
 
@@ -54,7 +54,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.without_repeated_runs(documents(spark, sf_dir))
+    kept = linededup.without_repeated_runs(documents(spark, sf_dir), long_words=linededup.LONG_WORDS)
     return kept.selectExpr("doc_id", "n_lines", "n_removed_lines", "sha2(coalesce(text, ''), 256) as kept_sha256")
 
 
@@ -86,13 +86,13 @@ worded as (select doc_id, count(*) - count(distinct line) n from raw where regex
 lines as (select doc_id, host, k, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) l from raw),
 counted as (select doc_id, host, k, l, len(regexp_extract_all(l, '[^ ]+')) n from lines where l <> ''),
 hosts as (select host, count(distinct md5(t)) n from d group by 1),
-frequent as (select host, l from (select host, l, count(distinct k) c from counted group by 1, 2) join hosts using (host) where c > {quality.MIN_DOCS} and c > n * {quality.HOST_SHARE}),
+frequent as (select host, l from (select host, l, count(distinct k) c from counted group by 1, 2) join hosts using (host) where c > {quality.ENOUGH_DOCS} or (c > {quality.FLOOR_DOCS} and c > n * {quality.FLOOR_SHARE}::double)),
 gone as (select doc_id, sum(n) n from counted join frequent using (host, l) group by 1),
 s as (select d.doc_id, len(w) n_words, length(array_to_string(w, '')) word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols,
   coalesce(worded.n, 0) n_dup_lines, coalesce(repeated.n, 0) n_repeat_words, cast(coalesce(gone.n, 0) as bigint) n_frequent_words
   from d left join worded using (doc_id) left join repeated using (doc_id) left join gone using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (n_words - n_frequent_words < n_words * {quality.LEAST_LEFT}) as kept, n_frequent_words from s""",
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (n_words - n_frequent_words < n_words * {quality.LEAST_LEFT} or n_words - n_frequent_words < {quality.LEAST_WORDS}) as kept, n_frequent_words from s""",
     "op3_jaccard_join": r"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
 s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) g from d)),
@@ -109,13 +109,14 @@ twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by h
 gone as (select doc_id, list(distinct p) ps from (select doc_id, unnest(range(i, i + 35)) p from twice) group by 1),
 stay as (select d.doc_id, len(w) n_words, case when ps is null then w else list_filter(w, lambda x, i: not list_contains(ps, i)) end k from d left join gone using (doc_id))
 select doc_id, n_words, n_words - len(k) n_removed, sha256(array_to_string(k, ' ')) kept_sha256 from stay""",
-    "op10_line_dedup": r"""
+    "op10_line_dedup": rf"""
 with d as (select doc_id, coalesce(text, '') t, string_split(coalesce(text, ''), chr(10)) raw from documents),
 l as (select doc_id, unnest(raw) line, unnest(range(1, len(raw) + 1)) i from d),
 c as (select doc_id, i, trim(lower(line), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) l from l),
-w as (select doc_id, i, l, lead(i) over o i2, lead(l) over o l2 from c where l <> '' window o as (partition by doc_id order by i)),
+w as (select doc_id, i, l, lead(i) over x i2, lead(l) over x l2 from c where l <> '' window x as (partition by doc_id order by i)),
 f as (select doc_id, i, i2, min((doc_id, i)) over (partition by l, l2) first from w where i2 is not null),
-gone as (select doc_id, list(distinct p) ps from (select doc_id, unnest([i, i2]) p from f where (doc_id, i) > first) group by 1)
+o as (select *, count(*) over (partition by doc_id) = 1 or len(regexp_extract_all(l, '[^ \t\r\x0B\x0C]+')) >= {linededup.LONG_WORDS} own, min((doc_id, i)) over (partition by l) first from c where l <> ''),
+gone as (select doc_id, list(distinct p) ps from (select doc_id, unnest([i, i2]) p from f where (doc_id, i) > first union all select doc_id, i from o where own and (doc_id, i) > first) group by 1)
 select d.doc_id, len(raw) n_lines, coalesce(len(ps), 0) n_removed_lines, sha256(case when ps is null then t else array_to_string(list_filter(raw, lambda x, i: not list_contains(ps, i)), chr(10)) end) kept_sha256
 from d left join gone using (doc_id)""",
     "op13_fill_in_middle": r"""

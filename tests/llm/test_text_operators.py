@@ -131,6 +131,26 @@ def test_op2(docs, none):
     assert Counter(r.doc_id for r in out.collect()) == +kept
 
 
+def test_verdicts_by_either_limit(docs):
+    rows = corpus()
+    df, hosts = defaultdict(set), defaultdict(set)
+    for r in rows:
+        hosts[r[3] or ""].add(r[1] or "")
+        for x in {quality.normalised_line(y) for y in (r[1] or "").split("\n")} - {""}:
+            df[r[3] or "", x].add(r[1] or "")
+    got = {(r.doc_id, r.n_words): r for r in quality.verdicts(docs, either=True, least_words=60).collect()}
+    some = 0
+    for r in rows:
+        w, c = len(words(r[1])), lambda y: len(df[r[3] or "", y])  # noqa: B023
+        low = lambda y: c(y) > quality.ENOUGH_DOCS or (c(y) > quality.FLOOR_DOCS and c(y) > quality.FLOOR_SHARE * len(hosts[r[3] or ""]))  # noqa: B023
+        gone = sum(len(y.split()) for x in (r[1] or "").split("\n") if (y := quality.normalised_line(x)) and low(y))
+        x = got[r[0], w]
+        assert x.n_frequent_words == gone
+        assert x.kept == (not x.base_failed and w - gone >= max(w / 2, 60))
+        some += x.kept != (not x.base_failed)
+    assert some
+
+
 def test_either_limit_removes_shared_lines(spark):
     ship(spark)
     rng = random.Random(11)
