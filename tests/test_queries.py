@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from lociframe.plans import file_queries, record_queries, region_queries  # noqa: F401
+from lociframe.plans import element_queries, file_queries, record_queries, region_queries  # noqa: F401
 from lociframe.plans.table_queries import ORACLES, QUERIES
 from lociframe.sources.vcf import region
 
