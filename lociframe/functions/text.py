@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,6 +80,66 @@ def erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc)
 
 
+def gamma_share(s: float, x: float) -> float:
+    """The regularised lower incomplete gamma function P(s, x), by its series, or from its complement's continued fraction."""
+    if not s > 0 or not x >= 0:
+        return math.nan
+    if x == 0:
+        return 0.0
+    front = math.exp(s * math.log(x) - x - math.lgamma(s))
+    if x < s + 1:
+        term = total = 1 / s
+        n = s
+        while abs(term) > abs(total) * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return min(front * total, 1.0)
+    return 1.0 - front * _continued(lambda i: (-i * (i - s), x + 2 * i + 1 - s), x + 1 - s)
+
+
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function I_x(a, b), by the continued fraction on the side where it converges fast."""
+    if not (a > 0 and b > 0 and 0 <= x <= 1):
+        return math.nan
+    if x in (0, 1):
+        return float(x)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+
+    def step(i: int) -> tuple[float, float]:
+        m = i // 2
+        return (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))), 1.0
+
+    return front * _continued(step, 1.0)
+
+
+def _continued(step: Callable[[int], tuple[float, float]], first: float) -> float:
+    """1 / (first + n1 / (d1 + n2 / (d2 + ...))) of successive (n, d), by the ratios of its convergents' numerators and denominators."""
+    tiny = 1e-300
+    value = above = first or tiny
+    below = 0.0
+    for i in range(1, 100_000):
+        n, d = step(i)
+        below = 1 / (d + n * below or tiny)
+        above = d + n / above or tiny
+        value *= above * below
+        if abs(above * below - 1) < 1e-15:
+            break
+    return 1 / value
+
+
+@F.pandas_udf(DoubleType())
+def incomplete_gamma(s: pd.Series, x: pd.Series) -> pd.Series:
+    return pd.Series([gamma_share(*p) for p in zip(s, x, strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def incomplete_beta(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
+    return pd.Series([beta_share(*p) for p in zip(a, b, x, strict=True)])
+
+
 def hardy_weinberg(hom_ref: Column, het: Column, hom_alt: Column) -> Column:
     """Chi-square of genotype counts against Hardy-Weinberg proportions."""
     n = (hom_ref + het + hom_alt).cast("double")

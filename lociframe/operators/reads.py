@@ -66,12 +66,13 @@ def bases_at(places: DataFrame, reads: DataFrame, *, on: str = "chrom", pos: str
 
 
 def all_bases(reads: DataFrame) -> DataFrame:
-    """chrom, pos, read, name, base, quality: a row for each place that a read covers, by places of its operations."""
-    o = reads.select("chrom", "start", "_vid", "name", "seq", "qual", F.explode(_spans(F.col("cigar"))).alias("o")).where("o.op in ('M', '=', 'X', 'D') and o.len > 0")
+    """chrom, pos, read, name, base, quality and, where flags are known, reverse: a row for each place that a read covers, by places of its operations."""
+    strand = [(F.col("flag").bitwiseAND(0x10) != 0).alias("reverse")] if "flag" in reads.columns else []
+    o = reads.select("chrom", "start", "_vid", "name", "seq", "qual", *strand, F.explode(_spans(F.col("cigar"))).alias("o")).where("o.op in ('M', '=', 'X', 'D') and o.len > 0")
     o = o.select("*", F.explode(F.sequence(F.lit(0), F.col("o.len") - 1)).alias("i"))
     at, gone = F.col("o.q") + F.col("i") + 1, F.col("o.op") == "D"
     quality = F.when(gone | (F.coalesce("qual", F.lit("*")) == "*"), 0).otherwise(F.ascii(F.substr("qual", at, F.lit(1))) - 33)
-    return o.select("chrom", (F.col("start") + F.col("o.r") + F.col("i")).alias("pos"), F.col("_vid").alias("read"), "name", F.when(gone, "*").otherwise(F.substr("seq", at, F.lit(1))).alias("base"), quality.alias("quality"))
+    return o.select("chrom", (F.col("start") + F.col("o.r") + F.col("i")).alias("pos"), F.col("_vid").alias("read"), "name", F.when(gone, "*").otherwise(F.substr("seq", at, F.lit(1))).alias("base"), quality.alias("quality"), *(["reverse"] if strand else []))
 
 
 def mates_corrected(bases: DataFrame, keys: list[str]) -> DataFrame:

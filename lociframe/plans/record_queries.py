@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import genotypes as gt
 from ..operators import intervals as iv
 from ..operators import reads as rd
 from ..operators import records as rc
@@ -127,3 +128,18 @@ def jn14_agg8_bases_at_places(spark, d):
     """How often reads have each base at the places of orders; no other place becomes a row."""
     places = table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey") % 3).alias("chrom"), (F.col("o_custkey") * 7 % 5100).alias("pos")).distinct()
     return rd.base_counts(rd.bases_at(places, _reads(spark, d), bin_width=64), ["chrom", "pos"])
+
+
+_CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+_TERM = f"(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(e) + (n - j) * ln(1 - e))"
+
+
+@query(f"""{_BASES}, k as (select chrom, pos, base, greatest(4, least(63, quality)) q, o from b where base in ('A', 'C', 'G', 'T')),
+c as (select *, count(*) over (partition by chrom, pos) n, row_number() over (partition by chrom, pos, base order by q desc, o) - 1 as r, power(10, -q / 10.0) e from k),
+t as (select *, list_sum(list_transform(range(r, n + 1), lambda j: exp({_TERM}))) reach, list_sum(list_transform(range(r + 1, n + 1), lambda j: exp({_TERM}))) beyond from c),
+s as (select chrom, pos, max(n) n, {', '.join(f"sum(case when base = '{x}' then -10 * log10(beyond / reach) else 0 end) s{x}, count(*) filter (base = '{x}') n{x}" for x in gt.BASES)} from t group by 1, 2)
+select chrom, pos, n as depth, {', '.join(f'round(greatest(0, ' + (' + '.join(f's{x}' for x in gt.BASES if x not in g) or '0') + ('' if g[0] == g[1] else f' - 4.343 * ({_CHOOSE.format(f"(n{g[0]} + n{g[1]})", f"n{g[1]}")} - (n{g[0]} + n{g[1]}) * ln(2))') + f'), 3) as "{g}"' for g in gt.GENOTYPES)} from s""")
+def seq18_genotype_likelihoods(spark, d):
+    """The ten genotypes at each place that reads cover, where errors don't depend on each other."""
+    g = gt.genotype_likelihoods(rd.all_bases(_reads(spark, d)), ["chrom", "pos"], dependence=0.0)
+    return g.select("chrom", F.col("pos").cast("bigint").alias("pos"), "depth", *[F.round(x, 3).alias(x) for x in gt.GENOTYPES])

@@ -464,12 +464,28 @@ def set8_union_by_name(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query()
+_LC = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+_TABLE = ", ".join(f"count(*) filter (l_returnflag = '{f}' and l_linestatus = '{s}') {f.lower()}{s.lower()}" for f in "AN" for s in "FO")
+
+
+@query(f"""with g as (select l_linenumber, {_TABLE} from lineitem group by 1), t as (select l_linenumber, af, af + ao as r, af + nf as c, af + ao + nf + no as n from g),
+x as (select *, unnest(range(greatest(0, r + c - n), least(r, c) + 1)) x from t), p as (select *, {_LC.format('r', 'x')} + {_LC.format('(n - r)', '(c - x)')} - {_LC.format('n', 'c')} lp from x),
+h as (select l_linenumber, lp here from p where x = af) select l_linenumber, round(least(1, sum(exp(lp)) filter (lp <= here + 1e-9)), 9) as p from p join h using (l_linenumber) group by 1""")
 def mth1_fisher_exact(spark, d):
     g = table(spark, d, "lineitem").groupBy("l_linenumber").agg(*[F.count_if((F.col("l_returnflag") == f) & (F.col("l_linestatus") == s)).alias(f"{f}{s}".lower()) for f in "AN" for s in "FO"])
     return g.select("l_linenumber", F.round(tx.fisher_exact("af", "ao", "nf", "no"), 9).alias("p"))
 
 
+@query("""select l_quantity::integer q, l_linenumber n, round(1 - list_sum(list_transform(range(0, l_linenumber), lambda k: exp(k * ln(l_quantity::double / 7) - l_quantity::double / 7 - lgamma(k + 1)))), 8) as gamma_share,
+ round(list_sum(list_transform(range(l_linenumber, 9), lambda k: exp(lgamma(9) - lgamma(k + 1) - lgamma(9 - k) + k * ln(l_quantity::double / 51) + (8 - k) * ln(1 - l_quantity::double / 51)))), 8) as beta_share,
+ round(lgamma(l_quantity::double / 3), 8) as log_gamma from (select distinct l_quantity, l_linenumber from lineitem)""")
+def mth1_incomplete_integrals(spark, d):
+    """Chances that a count reaches l_linenumber: Poisson's by the incomplete gamma function, of eight trials by the incomplete beta function."""
+    q = table(spark, d, "lineitem").select(F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").alias("n")).distinct()
+    x, n = F.col("q").cast("double"), F.col("n").cast("double")
+    return q.select("q", "n", F.round(tx.incomplete_gamma(n, x / 7), 8).alias("gamma_share"), F.round(tx.incomplete_beta(n, 9 - n, x / 51), 8).alias("beta_share"), F.round(tx.log_gamma(x / 3), 8).alias("log_gamma"))
+
+
 @query(f"select o_orderkey, pos, min(p_partkey) as p_partkey from {_P} join {_R} on {_IN} group by 1, 2")
 def stm1_stream_annotate(spark, d):
     from ..streaming.annotate_stream import annotated_once
