@@ -1,10 +1,17 @@
-"""Places on transcripts for both ends of regions, with column functions only."""
+"""Places on transcripts for both ends of regions, with column functions only; and names of changes taken back to the genome."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.consequence import Transcript
+from ..functions.names import change_on_genome, parsed_name
+from ..shipping import ship
 from .intervals import range_join
 
 
@@ -45,3 +52,45 @@ def located_ends(regions: DataFrame, transcripts: DataFrame, key: str) -> DataFr
     out = regions.join(wide, regions[key] == wide["_key"], "left")
     named = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise("Intergenic")
     return out.select(*[regions[c] for c in regions.columns], named("_s").alias("start_on"), named("_e").alias("end_on"))
+
+
+_PLACED = "chrom string, start int, end int, ref string, alt string, change string, problem string"
+
+
+def places_of_names(df: DataFrame, name: str, elements: DataFrame) -> DataFrame:
+    """df with chrom, start, end, ref, alt, change and problem of the changes that a column names (columns of these names are replaced).
+
+    elements are those of read_gea; transcripts are found by their names as they are written. Places are 0-based and half-open, bases on
+    the plus strand; what isn't known is null, and problem says why. Names on contigs (g.) need no transcript. Rows are
+    sorted by transcript in each task, so that a transcript is set up once there.
+    """
+    ship(df.sparkSession)
+    told = [x.split(" ")[0] for x in _PLACED.split(", ")]
+    own = [c for c in df.columns if c not in told]
+    t = elements.where(F.lower("biotype").isin("mrna", "ncrna")).groupBy(F.col("name").alias("_on")).agg(F.min_by(F.struct("chrom", "strand", "cds_start", "cds_end", "blocks", "cigar"), "_ord").alias("_t"))
+    on = F.trim(F.regexp_extract(F.coalesce(F.col(name), F.lit("")), r"^\s*[\"']?([^:(\"']+)", 1))
+    rows = df.select(*own, on.alias("_of")).join(t, F.col("_of") == F.col("_on"), "left").drop("_of")
+    schema = StructType(df.select(*own).schema.fields + StructType.fromDDL(_PLACED).fields)
+    types = [{"string": pa.string(), "int": pa.int32()}[x.split(" ")[1]] for x in _PLACED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[str | None, Transcript | None] = (None, None)
+        for b in batches:
+            out = []
+            texts, names, raw = (b.column(b.schema.get_field_index(c)) for c in (name, "_on", "_t"))
+            for i, (text, of) in enumerate(zip(texts.to_pylist(), names.to_pylist(), strict=True)):
+                n = parsed_name(text)
+                if n is None:
+                    out.append((None,) * 6 + ("not a name",))
+                    continue
+                if of != known[0]:
+                    r = raw[i].as_py()
+                    cds = (r["cds_start"], r["cds_end"]) if r and r["cds_start"] is not None and r["cds_end"] is not None and r["cds_end"] > r["cds_start"] else None
+                    known = of, r and Transcript(of, r["strand"] or "+", [(x["start"], x["end"]) for x in r["blocks"]], cds, [(x["op"], x["len"]) for x in r["cigar"] or []])
+                place = change_on_genome(n, known[1] if n.kind in "cn" else None)
+                chrom = n.on if n.kind in "gm" else raw[i].as_py()["chrom"] if of else None
+                out.append((chrom, place.get("start"), place.get("end"), place.get("ref"), place.get("alt"), n.change, place["problem"]))
+            cells = [pa.array(c, x) for c, x in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], x) for x in types]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in own), *cells], names=[*own, *told])
+
+    return rows.sortWithinPartitions("_on").mapInArrow(run, schema)
