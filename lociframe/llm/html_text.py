@@ -1,7 +1,8 @@
 """Layout-aware text of HTML pages: a tree builder with implied tags, visibility rules, and block layout.
 
 All text that a browser would show is emitted: paragraphs apart by an empty line, lists with their
-markers and nesting, tables with their cells aligned in columns.
+markers and nesting, tables with their cells aligned in columns, whatever columns and rows these span. Text
+that isn't visible doesn't appear, but what is visible again inside of it does.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Generator, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +49,8 @@ IMPLIES = {
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*?)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -55,10 +59,13 @@ DEPTH = 512
 
 
 class Node:
-    __slots__ = ("tag", "kids", "hidden", "start", "value", "foreign")
+    __slots__ = ("tag", "kids", "hidden", "faint", "start", "value", "foreign", "spans")
 
-    def __init__(self, tag: str, attrs: str = "", within: str = ""):
+    def __init__(self, tag: str, attrs: str = "", within: str = "", faint: bool = False):
         self.tag = tag
+        # Not visible, though it has its place: what is in it may be visible again, unlike in what is hidden.
+        self.faint = faint
+        self.spans: tuple[int, int] | None = None
         # What the text in it belongs to: "svg" (not shown), "svg text", "math", or "" for HTML.
         self.foreign = tag if tag in ("svg", "math") else "" if tag == "foreignobject" else "svg text" if within == "svg" and tag == "text" else within
         self.kids: list[Node | str] = []
@@ -66,7 +73,12 @@ class Node:
         self.start = self.value = None
         if attrs:
             found = {a.lower(): html.unescape(x or y or z) for a, x, y, z in reversed(_ATTR.findall(attrs))}
-            self.hidden = self.hidden or "hidden" in found or bool(_NONE.search(found.get("style", ""))) or (tag == "input" and found.get("type", "").lower() == "hidden")
+            style = found.get("style", "")
+            if seen := _VISIBILITY.findall(style):
+                self.faint = seen[-1].lower() != "visible"
+            if tag in ("td", "th"):
+                self.spans = tuple(int(x) if (x := found.get(c, "").strip()).isdecimal() else 1 for c in ("colspan", "rowspan"))
+            self.hidden = self.hidden or "hidden" in found or bool(_NONE.search(style)) or (tag == "input" and found.get("type", "").lower() == "hidden")
             self.start, self.value = found.get("start"), found.get("alt") if tag == "img" else found.get("value")
             if tag == "details" and "open" not in found:
                 self.start = "closed"
@@ -89,7 +101,7 @@ def parse(page: str) -> Node:
                 return
 
     def text(part: str) -> None:
-        if part and stack[-1].foreign != "svg":
+        if part and stack[-1].foreign != "svg" and not stack[-1].faint:
             if stack[-1].tag == "head" and part.strip():
                 stack.pop()
             stack[-1].kids.append(html.unescape(part))
@@ -137,12 +149,15 @@ def parse(page: str) -> Node:
             if tag in ("a", "button"):
                 close({tag}, SCOPE)
             within = stack[-1].foreign
-            node = Node(tag, m[3], within)
+            node = Node(tag, m[3], within, stack[-1].faint)
+            if node.faint and tag in ("img", "input"):
+                node.value = None
             stack[-1].kids.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 raw, at = page[at : end.start() if end else n], end.end() if end else n
-                node.kids.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
+                if not node.faint:
+                    node.kids.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
             elif tag not in VOID and not ((within or node.foreign) and (m[3] or "").rstrip().endswith("/")):
                 if len(stack) < DEPTH or (node.hidden and not stack[-1].hidden):
                     stack.append(node)
@@ -303,13 +318,14 @@ def _list(node: Node, depth: int) -> Layout:
         else:
             mark = "- "
         body = [x for x in (yield _render(kid, depth + 1)) if x]
-        for j, line in enumerate(body or [""]):
+        for j, line in enumerate(body or ([] if kid.faint else [""])):
             out.append((mark + line).rstrip() if not j else " " * len(mark) + line)
     return out
 
 
 def _table(node: Node, depth: int) -> Layout:
-    captions, rows = [], []
+    captions: list[str] = []
+    rows: list[list[tuple[list[str], int, int]] | None] = []
     todo: list[Node | str] = list(reversed(node.kids))
     loose: list[Node | str] = []
     while todo:
@@ -317,22 +333,24 @@ def _table(node: Node, depth: int) -> Layout:
         if isinstance(kid, str):
             if kid.strip():
                 loose.append(kid)
-        elif kid.hidden or kid.tag in ("colgroup", "col"):
+        elif kid.tag == "colgroup":
+            rows.append(None)
+        elif kid.hidden or kid.tag == "col":
             continue
         elif kid.tag == "caption":
             captions += [x for x in (yield _render(kid, depth + 1)) if x]
         elif kid.tag in ("tbody", "thead", "tfoot"):
-            todo += reversed(kid.kids)
+            rows.append(None)  # cells don't span into another group of rows
+            todo += reversed([*kid.kids, Node("colgroup")])
         elif kid.tag == "tr":
             cells = []
             for c in kid.kids:
                 if isinstance(c, Node) and not c.hidden and c.tag in ("td", "th"):
-                    cells.append([x for x in (yield _render(c, depth + 1)) if x])
+                    cells.append(([x for x in (yield _render(c, depth + 1)) if x], *(c.spans or (1, 1))))
             stray = [x for x in kid.kids if (x.strip() if isinstance(x, str) else not x.hidden and x.tag not in ("td", "th"))]
             if stray:
                 loose += stray
-            if any(cells):
-                rows.append(cells)
+            rows.append(cells)
         else:
             loose.append(kid)
     out = captions
@@ -340,12 +358,51 @@ def _table(node: Node, depth: int) -> Layout:
         box = Node("div")
         box.kids = loose
         out = [x for x in (yield _render(box, depth + 1)) if x] + out
-    n = max((len(r) for r in rows), default=0)
-    wide = [max((width(x) for r in rows if c < len(r) for x in r[c]), default=0) for c in range(n)]
-    for r in rows:
-        for j in range(max(map(len, r), default=0)):
-            line = "  ".join((x := c[j] if j < len(c) else "") + " " * (wide[i] - width(x)) for i, c in enumerate(r))
-            out.append(line.rstrip())
+    return out + _grid(rows)
+
+
+#: The most columns and rows that a cell spans, as in browsers.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+def _grid(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str]:
+    """The lines of a table's rows of (lines, columns, rows) cells, in aligned columns; None ends a group of rows.
+
+    A cell stands in the first row and column of those it spans, and the cells after it, in this row and the next ones, go beside it.
+    Columns in which no cell starts take no room; a cell wider than its columns widens the last of them.
+    """
+    placed, taken = [], {}  # taken: column -> the last row that a cell from above reaches there
+    for i, r in enumerate(rows):
+        if r is None:
+            taken = {}
+            continue
+        line, free = [], 0
+        for text, across, down in r:
+            while taken.get(free, -1) >= i:
+                free += 1
+            across, down = min(max(across, 1), MOST_COLUMNS), min(down, MOST_ROWS) or MOST_ROWS
+            line.append((free, free + across, text))
+            if down > 1:
+                taken |= dict.fromkeys(range(free, free + across), i + down - 1)
+            free += across
+        placed.append(line)
+    starts = sorted({begin for line in placed for begin, _, _ in line})
+    number = {c: i for i, c in enumerate(starts)}
+    wide = [0] * len(starts)
+    cells = [(number[begin], max(bisect_left(starts, end), number[begin] + 1), max(map(width, text), default=0)) for line in placed for begin, end, text in line]
+    for begin, end, n in sorted(cells, key=lambda c: c[1] - c[0]):
+        have = sum(wide[begin:end]) + 2 * (end - begin - 1)
+        wide[end - 1] += max(n - have, 0)
+    at = list(accumulate((w + 2 for w in wide[:-1]), initial=0))
+    out = []
+    for line in placed:
+        for j in range(max((len(text) for _, _, text in line), default=0)):
+            shown, done = "", 0
+            for begin, _, text in line:
+                if j < len(text):
+                    shown += " " * (at[number[begin]] - done) + text[j]
+                    done = at[number[begin]] + width(text[j])
+            out.append(shown.rstrip())
     return out
 
 
