@@ -93,6 +93,37 @@ def test_variants_are_parsed_twice_at_most(spark, files):
     assert "nearest" not in short._jdf.queryExecution().analyzed().toString() and [r.info.HGVSnom for r in short.orderBy("_vid").collect()] == [r.info.HGVSnom for r in df.orderBy("_vid").collect()]
 
 
+def test_indels_move_to_their_last_equal_place(spark):
+    from lociframe.plans.annotate import AHEAD, shifted_indels
+
+    import random
+
+    rng = random.Random(8)
+    seq = "".join(rng.choice("ACGT") for _ in range(300)) + "CAG" * 20 + "T" * 1500 + "".join(rng.choice("AC") for _ in range(1200)) + "G" * 30
+    rows = []
+    for i in range(400):
+        at = rng.choice([rng.randrange(len(seq)), rng.randrange(295, 380), rng.randrange(1800, 1870)])
+        ref = seq[at : at + rng.choice([1, 2, 4])]
+        rows.append((i, "c1", at, ref, [ref[:1], ref[:1] + rng.choice(["T", "CAG", "A", "AGC"]) + ref[1:], "<DEL>", "G" + ref]))
+    rows.append((900, "c2", 5, "AC", ["A"]))
+    got = {(r._vid, r.allele): (r.s_start, r.s_ref, r.s_alt) for r in shifted_indels(spark.createDataFrame(rows, "_vid bigint, chrom string, start int, ref string, alts array<string>"), spark.createDataFrame([("c1", seq)], "name string, seq string"), chunk=512).collect()}
+    from lociframe.functions.consequence import trimmed
+
+    want = {}
+    for vid, chrom, at, ref, alts in rows:
+        for k, alt in enumerate(alts):
+            s, r, a = trimmed(at, ref, alt) if alt[0] != "<" else (0, "A", "C")
+            ahead = seq[s : s + AHEAD] if chrom == "c1" else ""
+            if (len(r) == len(a) == 1) or (not r and not a) or len(ahead) < AHEAD:
+                continue
+            after, i = a + ahead[len(r) :], 0
+            while i < min(len(ahead), len(after)) and ahead[i] == after[i]:
+                i += 1
+            if i:
+                want[vid, k] = (s + i, ahead[i : i + len(r)], after[i : i + len(a)])
+    assert got == want and len(want) > 100
+
+
 def test_binding_sites(spark, tmp_path):
     rows = ["c1\t10\t20\ts1\tTFBS", "c1\t12\t15\ts2\tTFBS", "c1\t100\t110\tG\tGene", "c1\t104\t106\ts3\tTFBS", "c9\t5\t9\ts4\tTFBS"]
     (tmp_path / "e.gea").write_text("##fileformat=GenomeElementAnnotation_v1.0\n#chrom\n" + "".join("\t".join([*r.split("\t"), "g", "+", ".", ".", "1", r.split("\t")[1], r.split("\t")[2], "."]) + "\n" for r in rows))
