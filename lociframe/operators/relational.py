@@ -17,9 +17,9 @@ def allele_join(left: DataFrame, right: DataFrame, keys: list[str], alleles: str
     return left.join(r, match, how)
 
 
-def renamed_values(df: DataFrame, column: str, table: DataFrame, old: str, new: str) -> DataFrame:
-    """Values replaced by a two-column table's, kept where it has none; of duplicate keys the least new one wins."""
-    t = table.groupBy(F.col(old).alias("_old")).agg(F.min(new).alias("_new"))
+def renamed_values(df: DataFrame, column: str, table: DataFrame, old: str, new: str, order: str | None = None) -> DataFrame:
+    """Values replaced by a two-column table's, kept where it has none; of duplicate keys the first by `order` wins, without one the least new one."""
+    t = table.groupBy(F.col(old).alias("_old")).agg((F.min_by(new, order) if order else F.min(new)).alias("_new"))
     return df.join(t, df[column] == t._old, "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
 
 
@@ -33,11 +33,40 @@ def full_outer_sites(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
     return left.join(right, keys, "full_outer")
 
 
-def gap_sessions(df: DataFrame, on: str, at: str, gap, tie: str, name: str = "session") -> DataFrame:
-    """Numbers runs of rows whose steps are at most `gap` (a larger step starts a new run), from 1 by key."""
-    order = Window.partitionBy(on).orderBy(at, tie)
-    new = F.coalesce((F.col(at) - F.lag(at).over(order) > gap).cast("int"), F.lit(1))
-    return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(order)).drop("_new")
+#: Rows of one key that a single task sweeps; keys with more are swept in ranges.
+MOST_OF_A_KEY = 5_000_000
+
+
+def gap_sessions(df: DataFrame, on: str, at: str, gap, tie: str, name: str = "session", most: int = MOST_OF_A_KEY, parts: int = 64) -> DataFrame:
+    """Numbers runs of rows whose steps are at most `gap` (a larger step starts a new run), from 1 by key.
+
+    Where a key has more than `most` rows all are dealt to ranges of (key, position): a range needs the last row before
+    it and how many runs its first key has had, a row for each range, which the driver hands on.
+    """
+    top = df.groupBy(on).count().agg(F.max("count")).first()[0] or 0
+    if top <= most:
+        order = Window.partitionBy(on).orderBy(at, tie)
+        new = F.coalesce((F.col(at) - F.lag(at).over(order) > gap).cast("int"), F.lit(1))
+        return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(order)).drop("_new")
+    place = F.struct(F.col(on).alias("k"), F.col(at).alias("x"), F.col(tie).alias("t"))
+    ranged = df.repartitionByRange(max(parts, top // most + 1), on, at, tie).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(place).alias("_lo"), F.max(place).alias("_hi"))
+    bounds = [(i, r["_lo"], r["_hi"]) for i, r in enumerate(ranged.orderBy("_lo").collect())]
+    before = [None, *[hi for _, _, hi in bounds[:-1]]]
+    kind = df.select(place.alias("p")).schema["p"].dataType.simpleString()
+    spans = df.sparkSession.createDataFrame([(*b, x) for b, x in zip(bounds, before, strict=True)], f"_r int, _lo {kind}, _hi {kind}, _before {kind}")
+    placed = df.join(F.broadcast(spans), (place >= F.col("_lo")) & (place <= F.col("_hi")))
+    order = Window.partitionBy("_r", on).orderBy(at, tie)
+    last = F.coalesce(F.lag(at).over(order), F.when(F.col("_before.k").eqNullSafe(F.col(on)), F.col("_before.x")))
+    flagged = placed.withColumn("_new", F.coalesce((F.col(at) - last > gap).cast("int"), F.lit(1)))
+    runs = {r["_r"]: r["n"] for r in flagged.where(F.col("_hi.k").eqNullSafe(F.col(on))).groupBy("_r").agg(F.sum("_new").alias("n")).collect()}
+    had, held = [], 0
+    for i, lo, hi in bounds:
+        same = i > 0 and before[i]["k"] == lo["k"]
+        had.append((i, held if same else 0))
+        held = runs.get(i, 0) + (held if same and lo["k"] == hi["k"] else 0)
+    flagged = flagged.join(F.broadcast(df.sparkSession.createDataFrame(had, "_r int, _had bigint")), "_r")
+    number = F.sum("_new").over(order) + F.when(F.col("_lo.k").eqNullSafe(F.col(on)), F.col("_had")).otherwise(0)
+    return flagged.withColumn(name, number).select(*df.columns, name)
 
 
 def numbered_blocks(df: DataFrame, on: str, order: str, minus: Column) -> Column:

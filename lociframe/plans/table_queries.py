@@ -421,7 +421,7 @@ def map7_map8_map9_map10_flt4_flt5_genotypes(spark, d):
 @query("select p_partkey, i - 1 as allele, w[i] as value, case when i > 1 then w2[i - 1] end as a_value from (select p_partkey, unnest(range(1, len(w) + 1)) i, w, w[2:] w2 from (select p_partkey, string_split(p_name, ' ') w from part))")
 def exp2_exp3_exp4_prj6_explode_alleles(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
-    p = p.withColumn("alts", F.slice("w", 2, 1000))
+    p = p.withColumn("alts", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))))
     e = rl.exploded(p, rl.alleles_of(F.col("w")[0], F.col("alts")), "allele", "base")
     return e.select("p_partkey", F.col("allele").cast("bigint").alias("allele"), rl.picked(F.col("w"), "R", F.col("allele")).alias("value"), rl.picked(F.col("alts"), "A", F.col("allele")).alias("a_value"))
 
