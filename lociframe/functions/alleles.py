@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,13 +38,15 @@ def is_nonref(alt: Column) -> Column:
     return alt.isin("<NON_REF>", "<*>")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where the value is computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix of two strings, case-insensitive."""
-    a, b = F.upper(a), F.upper(b)
-    n = F.least(F.length(a), F.length(b))
-    return F.when(n == 0, 0).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))), acc + 1).otherwise(acc))
-    )
+    same = lambda z: F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.length(z["a"]), F.length(z["b"])), F.lit(1))), F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.substring(z["a"], i, F.lit(1)) == F.substring(z["b"], i, F.lit(1))), acc + 1).otherwise(acc))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(_once(F.struct(F.upper(a).alias("a"), F.upper(b).alias("b")), same))
 
 
 def trimmed(start: Column, ref: Column, alt: Column) -> Column:
@@ -50,12 +54,16 @@ def trimmed(start: Column, ref: Column, alt: Column) -> Column:
 
     A pure insertion lies between two bases: start = end. kind: ref, snv, ins, del, delins.
     """
-    p = common_prefix(ref, alt)
-    r1, a1 = F.substr(ref, p + 1), F.substr(alt, p + 1)
-    s = common_prefix(F.reverse(r1), F.reverse(a1))
-    r2, a2 = F.substr(r1, F.lit(1), F.length(r1) - s), F.substr(a1, F.lit(1), F.length(a1) - s)
-    kind = F.when((F.length(r2) == 0) & (F.length(a2) == 0), "ref").when(F.length(r2) == 0, "ins").when(F.length(a2) == 0, "del").when((F.length(r2) == 1) & (F.length(a2) == 1), "snv").otherwise("delins")
-    return F.struct((start + p).alias("start"), (start + p + F.length(r2)).alias("end"), r2.alias("ref"), a2.alias("alt"), kind.alias("kind"))
+    left = _once(common_prefix(ref, alt), lambda p: F.struct(p.alias("p"), F.substr(ref, p + 1).alias("r"), F.substr(alt, p + 1).alias("a")))
+    both = _once(left, lambda x: F.struct(x["p"].alias("p"), x["r"].alias("r"), x["a"].alias("a"), common_prefix(F.reverse(x["r"]), F.reverse(x["a"])).alias("s")))
+
+    def told(x: Column) -> Column:
+        r, a = (F.substr(x[c], F.lit(1), F.length(x[c]) - x["s"]) for c in "ra")
+        n, m = (F.length(x[c]) - x["s"] for c in "ra")
+        kind = F.when((n == 0) & (m == 0), "ref").when(n == 0, "ins").when(m == 0, "del").when((n == 1) & (m == 1), "snv").otherwise("delins")
+        return F.struct((start + x["p"]).alias("start"), (start + x["p"] + n).alias("end"), r.alias("ref"), a.alias("alt"), kind.alias("kind"))
+
+    return _once(both, told)
 
 
 def compatible_refs(a: Column, b: Column) -> Column:
