@@ -19,7 +19,10 @@ def _level(length: Column, bin_width: int, levels: int) -> Column:
 
 def _levels(regions: DataFrame, start: str, end: str, bin_width: int) -> int:
     """How many levels the longest region needs: one pre-aggregated number."""
-    longest = regions.agg(F.max(F.col(end) - F.col(start))).first()[0] or 0
+    return _levels_for(regions.agg(F.max(F.col(end) - F.col(start))).first()[0] or 0, bin_width)
+
+
+def _levels_for(longest: int, bin_width: int) -> int:
     n = 1
     while longest > bin_width * FANOUT**n:
         n += 1
@@ -66,8 +69,8 @@ def range_join(points: DataFrame, regions: DataFrame, *, on: str = "chrom", pos:
     return points.join(hit, (points[on] == hit._c) & (points[pos] == hit._x), how).select(*points.columns)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, *, on: str = "chrom", start: str = "start", end: str = "end", prefix: str = "r_", closed_start: bool = False, bin_width: int = BIN) -> DataFrame:
-    """Pairs of intervals that overlap; the right side's columns get a prefix.
+def overlap_join(left: DataFrame, right: DataFrame, *, on: str = "chrom", start: str = "start", end: str = "end", prefix: str = "r_", closed_start: bool = False, bin_width: int = BIN, longest: int | None = None) -> DataFrame:
+    """Pairs of intervals that overlap; the right side's columns get a prefix. longest: of the left intervals' lengths, where it is known.
 
     Long intervals go to coarser bins: each stands in the bins of its own level, FANOUT + 1 at most, and in two of each
     coarser one; a pair meets at the coarser level of both. It is kept in just one bin, that of the greater of the two
@@ -77,7 +80,7 @@ def overlap_join(left: DataFrame, right: DataFrame, *, on: str = "chrom", start:
     slack = 1 if closed_start else 0
     r = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
     rs, re_ = F.col(prefix + start), F.col(prefix + end)
-    levels = max(_levels(left, start, end, bin_width), _levels(right, start, end, bin_width))
+    levels = max(_levels(left, start, end, bin_width) if longest is None else _levels_for(longest, bin_width), _levels(right, start, end, bin_width))
     widths = [bin_width * FANOUT**k for k in range(levels)]
 
     def dealt(df: DataFrame, lo: Column, hi: Column, name: str) -> DataFrame:
