@@ -147,3 +147,8 @@ def hardy_weinberg(hom_ref: Column, het: Column, hom_alt: Column) -> Column:
     expect = (n * p * p, 2 * n * p * (1 - p), n * (1 - p) * (1 - p))
     parts = [F.when(e > 0, (o - e) * (o - e) / e).otherwise(0.0) for o, e in zip((hom_ref, het, hom_alt), expect, strict=True)]
     return F.when(n > 0, parts[0] + parts[1] + parts[2])
+
+
+def base64_text(value: Column) -> Column:
+    """base64 on one line: Spark's own breaks it after 76 characters."""
+    return F.translate(F.base64(value), "\r\n", "")
