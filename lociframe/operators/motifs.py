@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from ..functions.align import best_change, motif_hits
+from ..functions.align import best_change, motif_hits_of
 from ..shipping import ship
 
 
@@ -27,9 +27,7 @@ def motif_matches(df: DataFrame, seq: str, motifs: dict[str, str], mismatches: i
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
             for name, motif in motifs.items():
-                hits = [motif_hits(t, motif, mismatches) if t else [] for t in texts]
-                row = pa.array(np.repeat(np.arange(len(texts)), [len(h) for h in hits]), pa.int64())
-                at = pa.array([x for h in hits for x in h], pa.int64())
+                row, at = map(pa.array, motif_hits_of(texts, motif, mismatches))
                 yield pa.RecordBatch.from_arrays([*[b.column(i).take(row) for i in range(len(keep))], pa.array([name] * len(row), pa.string()), at], names=[*keep, "motif", "at"])
 
     return df.select(*keep, F.col(seq).cast("string").alias("_seq")).mapInArrow(run, schema)
