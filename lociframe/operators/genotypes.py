@@ -24,8 +24,20 @@ GENOTYPES = [a + b for i, a in enumerate(BASES) for b in BASES[i:]]
 DEPENDENCE, SHARE, LEAST_QUALITY, MOST_QUALITY, PHRED = 0.17, 0.03, 4, 63, 4.343
 
 
+_LOG_FACTORIALS = np.zeros(1)
+
+
+def _log_factorials(n: int) -> np.ndarray:
+    """Logarithms of the factorials of 0 to n at least; each is computed once in a process."""
+    global _LOG_FACTORIALS
+    if n >= len(_LOG_FACTORIALS):
+        _LOG_FACTORIALS = np.r_[_LOG_FACTORIALS, [lgamma(x + 1) for x in range(len(_LOG_FACTORIALS), 2 * n + 1)]]
+    return _LOG_FACTORIALS
+
+
 def _log_choose(n: int, k: np.ndarray) -> np.ndarray:
-    return lgamma(n + 1) - np.array([lgamma(x + 1) + lgamma(n - x + 1) for x in k.tolist()])
+    known = _log_factorials(n)
+    return known[n] - (known[k] + known[n - k])
 
 
 def surprise(quality: int, n: int) -> np.ndarray:
@@ -38,17 +50,22 @@ def surprise(quality: int, n: int) -> np.ndarray:
     return -10 / log(10) * (tails[1:] - tails[:-1])
 
 
+MOST_HELD = 4_000_000
+
+
 class Model:
-    """The error model; what it computes for a quality and a depth is remembered, for a bounded number of these."""
+    """The error model; what it computes for a quality and a depth is remembered, up to MOST_HELD numbers of it."""
 
     def __init__(self, dependence: float = DEPENDENCE):
-        self.dependence, self.known = dependence, {}
+        self.dependence, self.known, self.held = dependence, {}, 0
 
     def of(self, quality: int, n: int) -> np.ndarray:
         if (quality, n) not in self.known:
-            if len(self.known) > 20_000 or n > 10_000:
+            if self.held > MOST_HELD:
                 self.known.clear()
+                self.held = 0
             self.known[quality, n] = surprise(quality, n)
+            self.held += n
         return self.known[quality, n]
 
     def likelihoods(self, seen: list[tuple[str, bool, int, int]]) -> list[float]:
