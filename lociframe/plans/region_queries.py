@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import relational as rl
-from ..scratch import shared_folder
+from ..scratch import shared_folder, stored
 from ..sources import hts, regions, vcf
 from .table_queries import query, table
 
@@ -48,6 +48,7 @@ def src3_bcf_by_ranges(spark, d):
     """A BCF file that many tasks read, each a range of its bytes, in the file's order."""
     to = shared_folder(spark, "ranges")
     path, header = _orders(spark, d, to)
-    hts.write_variants(vcf.read_vcf(spark, path, header).coalesce(1), header, f"{to}/b", "b")
+    hts.write_variants(vcf.read_vcf(spark, path, header), header, f"{to}/b", "b")
     back, _ = hts.open_variants(spark, f"{to}/b", split=1 << 14)
-    return rl.numbered(back, "_vid", "line").selectExpr("line", "id", "info.N as n")
+    # Decoded once: numbering looks at the rows more than once.
+    return rl.numbered(stored(back.selectExpr("_vid", "id", "info.N as n"), "decoded"), "_vid", "line").select("line", "id", "n")

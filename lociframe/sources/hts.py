@@ -18,8 +18,11 @@ from dataclasses import dataclass, replace
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..operators.relational import PARTS
+from ..scratch import stored
 from ..shipping import ship
 from .vcf import ROW_BITS, VcfHeader, sniff, split_bits, vcf_lines
 
@@ -580,6 +583,17 @@ class Range(InputPartition):
     kind: str | None = None
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    ranges: list[Range]
+
+
+#: Tasks that read one source: with short ranges in large files, starting tasks would take the time.
+MOST_TASKS = 1000
+
+
 def kind_of(f, size: int) -> str:
     """bgzf, bcf, bam, ubcf (not zipped), gzip or text, by a file's first bytes and, inside of gzip, by those of its content."""
     f.seek(0)
@@ -648,7 +662,13 @@ class HtsReader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("split", SPLIT))
 
     def partitions(self):
-        """Ranges of all files; the folder is listed once, and files are opened by the tasks alone."""
+        """Ranges, or where there are more of them than MOST_TASKS, neighbours together."""
+        found = self.ranges()
+        n = -(-len(found) // MOST_TASKS)
+        return found if n < 2 else [Ranges(found[i : i + n]) for i in range(0, len(found), n)]
+
+    def ranges(self) -> list[Range]:
+        """Of all files; the folder is listed once, and files are opened by the tasks alone."""
         _, files = _files(self.path)
         bits = split_bits(len(files))
         out = []
@@ -668,9 +688,13 @@ class HtsReader(DataSourceReader):
             else:
                 yield from range_lines(f, kind, partition.start, partition.end, partition.size)
 
-    def read(self, partition: Range | None):
+    def read(self, partition: Range | Ranges | None):
         if partition is None:  # what Spark passes where there are no partitions
             return
+        if isinstance(partition, Ranges):
+            for one in partition.ranges:
+                yield from self.read(one)
+            return
         first, n, batch, held = partition.number << ROW_BITS, 0, [], 0
         for x in self.lines(partition):
             batch.append(x)
@@ -819,6 +843,15 @@ def open_variants(spark: SparkSession, path: str, tags: list[str] | None = None,
     return variants_of(lines, h, tags), h
 
 
+#: Records of a file: a part for each LEAST, up to PARTS for each core, and no more than MOST in one.
+LEAST_RECORDS, MOST_RECORDS = 100_000, 500_000
+
+
+def _file_count(rows: DataFrame) -> int:
+    n = rows.count()
+    return max(min(n // LEAST_RECORDS, PARTS * rows.sparkSession.sparkContext.defaultParallelism), n // MOST_RECORDS) + 1
+
+
 def write_variants(df: DataFrame, header: VcfHeader, path: str, mode: str = "z") -> None:
     """A folder of parts in order. Modes: z block-gzipped text, b BCF, u BCF that isn't zipped; v is write_vcf's plain text.
 
@@ -836,11 +869,13 @@ def write_variants(df: DataFrame, header: VcfHeader, path: str, mode: str = "z")
     ship(spark)
     spark.dataSource.register(HtsSource)
     h = VcfHeader.parse(header.lines())
+    # The records are made text once, for the names in the header, the bounds of the parts and the parts themselves.
+    rows = stored(vcf_lines(df.withColumns({"_chrom": F.col("chrom"), "_filters": F.col("filters")}), h, ["_chrom", "_filters"]), "lines")
     if mode != "z":
-        for r in df.select("chrom").distinct().orderBy("chrom").collect():
+        for r in rows.select(F.col("_chrom").alias("chrom")).distinct().orderBy("chrom").collect():
             h.contigs.setdefault(r.chrom, None)
-        for r in df.selectExpr("explode(filters) as f").distinct().orderBy("f").collect():
+        for r in rows.selectExpr("explode(_filters) as f").distinct().orderBy("f").collect():
             if r.f != "PASS":
                 h.filters.setdefault(r.f, "")
-    lines = vcf_lines(df, h).orderBy("_vid")
+    lines = rows.repartitionByRange(_file_count(rows), "_vid").sortWithinPartitions("_vid").select("value")
     lines.write.format(NAME).mode("append").option("path", path).option("kind", mode).option("head", "\n".join(h.lines())).save()
