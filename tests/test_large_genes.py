@@ -28,3 +28,7 @@ def test_gene_annotation_broadcasts_no_table(spark, monkeypatch):
     out = _annotated(spark, monkeypatch, False)
     assert "SortMergeJoin" in _plan(out) and "Broadcast" not in _plan(out)
     assert [r.info.Gene for r in out.orderBy("_vid").collect()] == [["G"], ["G"]]
+
+
+def test_shifted_indels_broadcast_no_table(spark, monkeypatch):
+    assert "Broadcast" not in _plan(_annotated(spark, monkeypatch, True))
