@@ -67,7 +67,7 @@ def places_of_names(df: DataFrame, name: str, elements: DataFrame) -> DataFrame:
     ship(df.sparkSession)
     told = [x.split(" ")[0] for x in _PLACED.split(", ")]
     own = [c for c in df.columns if c not in told]
-    t = elements.where(F.lower("biotype").isin("mrna", "ncrna")).groupBy(F.col("name").alias("_on")).agg(F.min_by(F.struct("chrom", "strand", "cds_start", "cds_end", "blocks", "cigar"), "_ord").alias("_t"))
+    t = elements.where(F.lower("biotype").isin("mrna", "ncrna")).groupBy(F.col("name").alias("_on")).agg(F.min_by(F.struct("chrom", "strand", "cds_start", "cds_end", "blocks", "cigar"), "_ord").alias("_t")).hint("merge")
     on = F.trim(F.regexp_extract(F.coalesce(F.col(name), F.lit("")), r"^\s*[\"']?([^:(\"']+)", 1))
     rows = df.select(*own, on.alias("_of")).join(t, F.col("_of") == F.col("_on"), "left").drop("_of")
     schema = StructType(df.select(*own).schema.fields + StructType.fromDDL(_PLACED).fields)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lociframe.operators.transcripts import places_of_names
 from lociframe.plans import annotate as an
 from lociframe.scratch import stored
 from lociframe.sources.vcf import VcfHeader
@@ -32,3 +33,10 @@ def test_gene_annotation_broadcasts_no_table(spark, monkeypatch):
 
 def test_shifted_indels_broadcast_no_table(spark, monkeypatch):
     assert "Broadcast" not in _plan(_annotated(spark, monkeypatch, True))
+
+
+def test_names_are_placed_without_a_broadcast(spark):
+    names = stored(spark.createDataFrame([("T.1:c.1A>C",)], "name string"), "names")
+    found = places_of_names(names, "name", _elements(spark))
+    assert "Broadcast" not in _plan(found)
+    assert [(r.chrom, r.start, r.problem) for r in found.collect()] == [("c1", 10, None)]
