@@ -32,8 +32,10 @@ SPLIT = 64 << 20
 END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BLOCK = 0xFF00
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-MISSING = {1: -(1 << 7), 2: -(1 << 15), 3: -(1 << 31)}
-INT_CODE = {1: "b", 2: "h", 3: "i"}
+MISSING = {1: -(1 << 7), 2: -(1 << 15), 3: -(1 << 31), 4: -(1 << 63)}
+INT_CODE = {1: "b", 2: "h", 3: "i", 4: "q"}
+# BCF's places are 32 bits: one from here on stands behind the tags of its record, which other readers pass over, and this in its stead.
+LAST_PLACE = (1 << 31) - 1
 FLOAT_MISSING, FLOAT_END = 0x7F800001, 0x7F800002
 
 
@@ -362,6 +364,8 @@ def decode_record(shared: bytes, each: bytes, strings: dict[int, str], contigs:
     for _ in range(n_info):
         key, v = strings[c.typed()[0]], c.typed()
         info.append(key if v == [] else f"{key}={_shown(v)}")
+    if pos == LAST_PLACE and c.at < len(shared):
+        pos = c.typed()[0]
     qual = "." if bits == FLOAT_MISSING else f"{struct.unpack('<f', struct.pack('<I', bits))[0]:g}"
     cells = [contigs[chrom], str(pos + 1), name or ".", alleles[0] if alleles else ".", ",".join(alleles[1:]) or ".", qual, ";".join(strings[x] for x in filters) or ".", ";".join(info) or "."]
     if n_sample:
@@ -377,7 +381,7 @@ def decode_record(shared: bytes, each: bytes, strings: dict[int, str], contigs:
 
 def _int_kind(values: list[int]) -> int:
     lo, hi = min(values, default=0), max(values, default=0)
-    return 1 if lo >= -120 and hi <= 127 else 2 if lo >= -32760 and hi <= 32767 else 3
+    return 1 if lo >= -120 and hi <= 127 else 2 if lo >= -32760 and hi <= 32767 else 3 if lo >= MISSING[3] + 8 and hi < 1 << 31 else 4
 
 
 def _typed_head(n: int, kind: int) -> bytes:
@@ -419,7 +423,7 @@ def encode_record(line: str, h: VcfHeader, strings: dict[str, int], contigs: dic
     keys = c[8].split(":") if len(c) > 9 and c[8] != "." else []
     end = next((int(x[4:]) for x in info if x.startswith("END=")), None)
     pos = int(c[1]) - 1
-    out = struct.pack("<iiiIHHI", contigs[c[0]], pos, end - pos if end else len(c[3]), _float_bits(None if c[5] == "." else float(c[5])), len(info), len(alleles), len(keys) << 24 | max(len(c) - 9, 0))
+    out = struct.pack("<iiiIHHI", contigs[c[0]], min(pos, LAST_PLACE), min(end - pos, LAST_PLACE) if end else len(c[3]), _float_bits(None if c[5] == "." else float(c[5])), len(info), len(alleles), len(keys) << 24 | max(len(c) - 9, 0))
     out += _text("" if c[2] == "." else c[2]) + b"".join(map(_text, alleles))
     out += b"\0" if c[6] == "." else _numbers([strings[x] for x in c[6].split(";")])
     for item in info:
@@ -427,6 +431,8 @@ def encode_record(line: str, h: VcfHeader, strings: dict[str, int], contigs: dic
         kind = h.info[key].type
         out += _numbers([strings[key]])
         out += b"\0" if not has or kind == "Flag" else _numbers(_parsed(value, int)) if kind == "Integer" else _floats(_parsed(value, float)) if kind == "Float" else _text(value)
+    if pos >= LAST_PLACE:
+        out += _numbers([pos])
     each = b""
     samples = [x.split(":") for x in c[9:]]
     for i, key in enumerate(keys):
@@ -834,13 +840,13 @@ def read_header_lines(path: str, mark: str = "#") -> list[str]:
     return []
 
 
-def open_variants(spark: SparkSession, path: str, tags: list[str] | None = None, split: int = SPLIT) -> tuple[DataFrame, VcfHeader]:
+def open_variants(spark: SparkSession, path: str, tags: list[str] | None = None, split: int = SPLIT, place: str = "int") -> tuple[DataFrame, VcfHeader]:
     """(variants, header) of VCF text, plain, gzipped or block-gzipped, or of BCF, as the first bytes tell."""
     from .vcf import variants_of
 
     h = VcfHeader.parse(read_header_lines(path))
     lines = read_lines(spark, path, split).where("not startswith(value, '#') and value <> ''")
-    return variants_of(lines, h, tags), h
+    return variants_of(lines, h, tags, place), h
 
 
 #: Records of a file: a part for each LEAST, up to PARTS for each core, and no more than MOST in one.
